@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Buckets that each group is dealt into before its rows are numbered.
 RANK_BUCKETS = 1024
+#: Rows of a few numbers each that are broadcast at most (some 16 MB).
+BROADCAST_ROWS = 400_000
 #: Entries that a task's word cache holds before it starts anew.
 WORD_CACHE = 200_000
 
@@ -49,6 +51,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_size(large: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Joins a written table ``small``: broadcast if its rows are counted to be few, else by shuffling both."""
+    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def gapless_rank(df: DataFrame, by: list[str], order: list[Column], salt: Column, out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
     """``df`` with ``out``: each row's number in its group ``by``, 0, 1, ... without gaps.
 

@@ -7,9 +7,9 @@ A line goes if an earlier one, by document and line number, is near.
 
 Of each distinct line every variant with one word deleted becomes a hashed key, beside the key
 of the whole line; lines that share a variant with the same place deleted, or whose variant is
-another's whole, are near, which is then verified on their words. Lines that share neither
-their beginning half nor their ending half with another distinct line can't be near one and
-emit no variants.
+another's whole, are near, which is then verified on their words. One edit leaves two thirds
+of a line as they are: its first two, its last two, or its first and last. Lines that share
+none of these with another distinct line can't be near one and emit no variants.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import MIX_1, U64, WordHashes, mixed, settle, table
+from .common import MIX_1, U64, WordHashes, join_by_size, mixed, settle, table
 
 LEAST_WORDS = 8
 WHOLE = -1
@@ -50,10 +51,10 @@ def _lines(text: str | None) -> list[list[bytes]]:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(doc, line, n, h, halves) of every line of ``docs`` (doc, text) that has words.
+    """(doc, line, n, h, parts) of every line of ``docs`` (doc, text) that has words.
 
-    h: hash of the line; halves: keys of its beginning and ending half, as the shorter line of
-    a pair and as the longer one.
+    h: hash of the line; parts: keys of two of its thirds, as the shorter line of a pair and as
+    the longer one; none of short lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,17 +80,18 @@ def line_keys(docs: DataFrame) -> DataFrame:
                 def run_hash(i: np.ndarray, j: np.ndarray, salt) -> np.ndarray:
                     return mixed((total[j] - total[i]) * back[i] + np.asarray(salt).astype(U64) * MIX_1)
 
-                halves = []
+                parts = []
                 for c in (n, n - 1):  # words of the shorter line of the pair
-                    c = np.maximum(c, 0)
-                    h = c // 2
-                    halves += [run_hash(begin, begin + h, 2 * c), run_hash(end - (c - h), end, 2 * c + 1)]
-                keys = np.stack(halves, 1).view(np.int64) if len(n) else np.empty((0, 4), np.int64)
+                    third = np.maximum(c, 0) // 3
+                    rest = np.maximum(c, 0) - third
+                    ends = run_hash(begin, begin + third, 3 * c) * MIX_1 + run_hash(end - third, end, 3 * c)
+                    parts += [run_hash(begin, begin + rest, 3 * c + 1), run_hash(end - rest, end, 3 * c + 2), mixed(ends)]
+                keys = np.stack(parts, 1).view(np.int64) if len(n) else np.empty((0, 6), np.int64)
                 short = n < LEAST_WORDS
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(short, 0, 4))]), pa.int32()), pa.array(keys[~short].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(n.astype(np.int32)), pa.array(run_hash(begin, end, n).view(np.int64)), lists], names=["doc", "line", "n", "h", "halves"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(short, 0, 6))]), pa.int32()), pa.array(keys[~short].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(n.astype(np.int32)), pa.array(run_hash(begin, end, n).view(np.int64)), lists], names=["doc", "line", "n", "h", "parts"])
 
-    return docs.mapInArrow(run, "doc long, line int, n int, h long, halves array<long>")
+    return docs.mapInArrow(run, "doc long, line int, n int, h long, parts array<long>")
 
 
 def neighbourhoods(docs: DataFrame) -> DataFrame:
@@ -146,22 +148,19 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     first = rows.groupBy("h", "n").agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("c"))
     copies = rows.join(first.where("c > 1"), ["h", "n"]).where("doc > f.doc or (doc = f.doc and line > f.line)").select("doc", "line")
 
-    distinct = rows.where(F.col("n") >= LEAST_WORDS).join(first.select(F.col("f.doc").alias("doc"), F.col("f.line").alias("line")), ["doc", "line"], "left_semi")
-    halves = distinct.select("doc", "line", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    maybe = settle(halves.join(shared, "half", "left_semi").select("doc", "line").distinct())
-    wanted = maybe.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted"))
-    lines = settle(neighbourhoods(body.join(wanted, "doc").select("doc", "text", "wanted")))
+    firsts = first.select(F.col("f.doc").alias("doc"), F.col("f.line").alias("line"))
+    parts = rows.where(F.col("n") >= LEAST_WORDS).join(firsts, ["doc", "line"], "left_semi").select("doc", "line", F.explode(F.array_distinct("parts")).alias("part"))
+    by_part = Window.partitionBy("part").orderBy("doc", "line")
+    shared = parts.withColumn("shared", F.lag("line").over(by_part).isNotNull() | F.lead("line").over(by_part).isNotNull()).where("shared")
+    wanted = settle(shared.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
+    lines = settle(neighbourhoods(join_by_size(body, wanted, "doc").select("doc", "text", "wanted")))
 
     keys = lines.select("doc", "line", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "key"))
-    keys = keys.select("doc", "line", F.when(F.col("at") == F.col("n") - 1, WHOLE).otherwise(F.col("at")).alias("at"), "key")
-    here = F.struct("doc", "line")
-    earliest = keys.groupBy("key", "at").agg(F.min(here).alias("f"), F.count("*").alias("c"))
-    replaced = keys.join(earliest.where("c > 1"), ["key", "at"]).select("doc", "line", "f")
-    any_place = earliest.groupBy("key").agg(F.min(F.when(F.col("at") == WHOLE, F.col("f"))).alias("whole"), F.min(F.when(F.col("at") != WHOLE, F.col("f"))).alias("cut")).where("whole is not null and cut is not null")
-    longer = keys.where(F.col("at") != WHOLE).join(any_place, "key").select("doc", "line", F.col("whole").alias("f"))
-    shorter = any_place.select("whole.doc", "whole.line", F.col("cut").alias("f"))
-    pairs = replaced.unionByName(longer).unionByName(shorter).groupBy("doc", "line").agg(F.min("f").alias("f")).where("f.doc < doc or (f.doc = doc and f.line < line)")
+    keys = keys.select("key", F.when(F.col("at") == F.col("n") - 1, WHOLE).otherwise(F.col("at")).alias("at"), F.struct("doc", "line").alias("here"))
+    same, any_ = Window.partitionBy("key", "at"), Window.partitionBy("key")
+    whole, cut = (F.min(F.when(c, F.col("here"))).over(any_) for c in (F.col("at") == WHOLE, F.col("at") != WHOLE))
+    met = keys.select("here", F.when(F.col("at") == WHOLE, cut).otherwise(F.least(F.min("here").over(same), whole)).alias("f"))
+    pairs = met.where("f.doc < here.doc or (f.doc = here.doc and f.line < here.line)").groupBy("here").agg(F.min("f").alias("f")).select("here.doc", "here.line", "f")
     words = lines.select("doc", "line", "words")
     met = pairs.join(words, ["doc", "line"]).select("doc", "line", "words", F.col("f.doc").alias("d2"), F.col("f.line").alias("l2"))
     met = met.join(words.select(F.col("doc").alias("d2"), F.col("line").alias("l2"), F.col("words").alias("other")), ["d2", "l2"]).select("doc", "line", "words", "other")
@@ -178,8 +177,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     A document that loses all its lines stays, with an empty text; a null text stays null.
     """
-    gone = repeated(docs, key, text).select(F.col("doc").alias("__doc"), "lines")
-    met = docs.drop("n_lines_gone").join(gone, F.col(f"`{key}`") == F.col("__doc"), "left")
+    gone = settle(repeated(docs, key, text).select(F.col("doc").alias("__doc"), "lines"))
+    met = join_by_size(docs.drop("n_lines_gone"), gone, F.col(f"`{key}`") == F.col("__doc"), "left")
     split = F.split(F.col(f"`{text}`"), "\n", -1)
     left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("lines", i), x)), lambda x: x.isNotNull()), "\n")
     new = F.when(F.col("lines").isNull(), F.col(f"`{text}`")).otherwise(left)

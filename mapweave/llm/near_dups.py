@@ -4,8 +4,8 @@ Each text becomes the set of its distinct word shingles. Bands of MinHash minima
 candidate buckets; the low bits of the minima, packed in bit planes, give an estimate of the
 similarity by bit counts, corrected for chance agreement; links are confirmed on the full sets.
 
-Equal sets are one class from the start. A bucket first links its members to its smallest and
-its largest one only. Where a bucket still spans several components after that, its members of
+Equal sets are one class from the start. A bucket first offers its members its smallest and
+its largest one only, and each text is confirmed with the likeliest earlier one. Where a bucket still spans several components after that, its members of
 different components are compared; large such buckets are first split by the members' other
 bands (a true pair shares many), so that no bucket makes all its pairs. Components are exact
 on the confirmed links.
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_1, U64, WordHashes, components, mixed, settle, shingles, table
+from .common import MIX_1, U64, WordHashes, components, join_by_size, mixed, settle, shingles, table
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 MINIMA, ROWS, BITS = 128, 4, 4
@@ -100,30 +100,33 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents in ``ids``."""
+def with_sets(docs: DataFrame) -> DataFrame:
+    """``docs`` (ids..., text) with the set of each text in place of the text."""
+    names = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                sets = [shingles(hashes.of(words_of(t.as_py())), SHINGLE).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                sets = [shingles(hashes.of(words_of(t.as_py())), SHINGLE).view(np.int64) for t in part.column(len(names))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=[*names, "set"])
 
-    chosen = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return chosen.join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", set array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = settle(full_sets(docs, key, text, ids).dropDuplicates(["id"]))
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(F.lit(DENOMINATOR) * both >= F.lit(NUMERATOR) * union).select("a", "b")
+    """The rows of the written table ``pairs`` (a, b) whose full sets reach the threshold.
+
+    The set of a travels once with its pair to the set of b.
+    """
+    body = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    left = with_sets(join_by_size(body, pairs.select(F.col("a").alias("id"), "a", "b"), "id").select("a", "b", "text"))
+    right = with_sets(join_by_size(body, settle(pairs.select(F.col("b").alias("id")).distinct()), "id").select("id", "text"))
+    both = F.size(F.array_intersect("set", "sb"))
+    union = F.size("set") + F.size("sb") - both
+    met = left.join(right.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    return met.where(F.lit(DENOMINATOR) * both >= F.lit(NUMERATOR) * union).select("a", "b").distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,7 +145,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     stars = stars.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     sigs = members.select("rep", "sig")
     near = stars.join(sigs.withColumnsRenamed({"rep": "a", "sig": "xa"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "xb"}), "b")
-    near = near.withColumn("e", estimate(F.col("xa"), F.col("xb"))).where(F.col("e") >= ESTIMATE).select("a", "b")
+    near = near.withColumn("e", estimate(F.col("xa"), F.col("xb"))).where(F.col("e") >= ESTIMATE)
+    near = near.groupBy(F.col("b").alias("member")).agg(F.max_by("a", F.struct("e", -F.col("a"))).alias("best")).select(F.col("member").alias("a"), F.col("best").alias("b"))
     links = settle(confirmed(settle(near), docs, key, text))
     found = components(links)
 
