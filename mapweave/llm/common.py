@@ -15,10 +15,10 @@ from pyspark.sql.window import Window
 
 #: Buckets that each group is dealt into before its rows are numbered.
 RANK_BUCKETS = 1024
-#: Rows of a few numbers each that are broadcast at most (some 16 MB).
-BROADCAST_ROWS = 400_000
+#: Rows of a few numbers each that are broadcast at most (some 8 MB).
+BROADCAST_ROWS = 200_000
 #: Entries that a task's word cache holds before it starts anew.
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 
 U64 = np.uint64
 #: Odd 64-bit multipliers of the hash mixes (fixed values).

@@ -150,13 +150,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = settle(confirmed(settle(near), docs, key, text))
     found = components(links)
 
-    placed = settle(members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "sig", "bands", F.coalesce("component", "rep").alias("c")))
-    mixed_bands = placed.select("c", F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "n")
-    rest = placed.select("rep", "sig", "c", "bands", F.explode("bands").alias("band")).join(mixed_bands, "band")
-    few = rest.where(F.col("n") <= SMALL).select(F.col("band").alias("k1"), F.lit(0).cast("long").alias("k2"), "rep", "sig", "c")
-    many = rest.where(F.col("n") > SMALL).select(F.col("band").alias("k1"), F.explode(F.filter("bands", lambda x: x != F.col("band"))).alias("k2"), "rep", "sig", "c")
+    # members by band and component only; signatures and bands follow for those left over
+    placed = banded.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+    spans = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "n")
+    rest = settle(placed.join(spans, "band"))
+    few = rest.where(F.col("n") <= SMALL).select(F.col("band").alias("k1"), F.lit(0).cast("long").alias("k2"), "rep", "c")
+    many = rest.where(F.col("n") > SMALL).join(members.select("rep", "bands"), "rep").select(F.col("band").alias("k1"), F.explode(F.filter("bands", lambda x: x != F.col("band"))).alias("k2"), "rep", "c")
     open_ = many.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k1", "k2")
-    again = few.unionByName(many.join(open_, ["k1", "k2"]))
+    again = few.unionByName(many.join(open_, ["k1", "k2"])).join(sigs, "rep")
     x, y = again.withColumnsRenamed({"rep": "a", "sig": "xa", "c": "ca"}), again.withColumnsRenamed({"rep": "b", "sig": "xb", "c": "cb"})
     more = x.join(y, ["k1", "k2"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (estimate(F.col("xa"), F.col("xb")) >= ESTIMATE))
     more = settle(more.select("a", "b").distinct())
