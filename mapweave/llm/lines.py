@@ -177,12 +177,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     A document that loses all its lines stays, with an empty text; a null text stays null.
     """
-    gone = settle(repeated(docs, key, text).select(F.col("doc").alias("__doc"), "lines"))
+    gone = settle(repeated(docs, key, text).select(F.col("doc").alias("__doc"), F.col("lines").alias("__lines")))
     met = join_by_size(docs.drop("n_lines_gone"), gone, F.col(f"`{key}`") == F.col("__doc"), "left")
     split = F.split(F.col(f"`{text}`"), "\n", -1)
-    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("lines", i), x)), lambda x: x.isNotNull()), "\n")
-    new = F.when(F.col("lines").isNull(), F.col(f"`{text}`")).otherwise(left)
-    return met.withColumn(text, new).withColumn("n_lines_gone", F.coalesce(F.size("lines"), F.lit(0))).drop("__doc", "lines")
+    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("__lines", i), x)), lambda x: x.isNotNull()), "\n")
+    new = F.when(F.col("__lines").isNull(), F.col(f"`{text}`")).otherwise(left)
+    return met.withColumn(text, new).withColumn("n_lines_gone", F.coalesce(F.size("__lines"), F.lit(0))).drop("__doc", "__lines")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,8 @@ similarity by bit counts, corrected for chance agreement; links are confirmed on
 
 Equal sets are one class from the start. A bucket first offers its members its smallest and
 its largest one only, and each text is confirmed with the likeliest earlier one. Where a bucket still spans several components after that, its members of
-different components are compared; large such buckets are first split by the members' other
-bands (a true pair shares many), so that no bucket makes all its pairs. Components are exact
-on the confirmed links.
+different components are compared in blocks, which give back links only, not their candidate
+pairs. Components are exact on the confirmed links.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 MINIMA, ROWS, BITS = 128, 4, 4
 #: Estimates below this are not confirmed: five standard deviations under the threshold.
 ESTIMATE = 0.55
-#: Members of a bucket with several components that are compared without splitting it.
-SMALL = 64
+#: Members of a bucket with several components that are compared in one group.
+BLOCK = 2000
 
 _rng = np.random.Generator(np.random.PCG64(11))
 MULTIPLY = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * U64(2) + U64(1)
@@ -129,6 +128,50 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     return met.where(F.lit(DENOMINATOR) * both >= F.lit(NUMERATOR) * union).select("a", "b").distinct()
 
 
+def cross_links(rows: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between different components of a bucket.
+
+    ``rows``: (band, rep, c, m, sig, bands, set). A bucket of many members is cut into ``m``
+    parts, and every two parts meet in a group of their own. Two texts are compared in the
+    least band that they share; of two components of a group one link is enough.
+    """
+    part = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
+    dealt = rows.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.withColumn("g", F.least("p", "q") * F.col("m") + F.greatest("p", "q")).drop("m", "q")
+    most, chance = (1 - ESTIMATE) * (1 - 1 / (1 << BITS)) * MINIMA, MINIMA // 64
+
+    def run(group: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        ids, comp, part_of = (group.column(k).to_numpy() for k in ("rep", "c", "p"))
+        if len(np.unique(comp)) > 1:
+            band = group.column("band")[0].as_py()
+            whole = group.combine_chunks()
+            sig, keys = (np.array(whole.column(k).chunk(0).flatten()).reshape(len(ids), -1) if whole.column(k).num_chunks else None for k in ("sig", "bands"))
+            sig, keys = sig.view(U64), np.sort(keys, 1)  # unsigned: numpy counts the bits of magnitudes
+            sets = [np.array(x.values) for x in whole.column("set").chunk(0)]
+            size = np.array([len(x) for x in sets])
+            split = len(np.unique(part_of)) > 1
+            comp = comp.copy()
+            for i in np.argsort(ids):
+                planes = (sig ^ sig[i]).reshape(len(ids), BITS, chance)
+                differ = np.bitwise_count(np.bitwise_or.reduce(planes, 1)).sum(1)
+                fit = (comp != comp[i]) & (ids > ids[i]) & (differ <= most)
+                fit &= (DENOMINATOR * size >= NUMERATOR * size[i]) & (DENOMINATOR * size[i] >= NUMERATOR * size)
+                if split:
+                    fit &= part_of != part_of[i]
+                at = np.flatnonzero(fit)
+                for j in at[np.argsort(differ[at], kind="stable")]:
+                    if comp[j] == comp[i] or np.intersect1d(keys[i], keys[j], assume_unique=False)[0] != band:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if DENOMINATOR * both >= NUMERATOR * (size[i] + size[j] - both):
+                        out.append((int(ids[i]), int(ids[j])))
+                        comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return dealt.groupBy("band", "g").applyInArrow(run, "a long, b long").distinct()
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row.
 
@@ -150,19 +193,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = settle(confirmed(settle(near), docs, key, text))
     found = components(links)
 
-    # members by band and component only; signatures and bands follow for those left over
+    # members by band and component; sets and signatures follow for those left over
     placed = banded.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    spans = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "n")
+    spans = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("m"))
     rest = settle(placed.join(spans, "band"))
-    few = rest.where(F.col("n") <= SMALL).select(F.col("band").alias("k1"), F.lit(0).cast("long").alias("k2"), "rep", "c")
-    many = rest.where(F.col("n") > SMALL).join(members.select("rep", "bands"), "rep").select(F.col("band").alias("k1"), F.explode(F.filter("bands", lambda x: x != F.col("band"))).alias("k2"), "rep", "c")
-    open_ = many.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k1", "k2")
-    again = few.unionByName(many.join(open_, ["k1", "k2"])).join(sigs, "rep")
-    x, y = again.withColumnsRenamed({"rep": "a", "sig": "xa", "c": "ca"}), again.withColumnsRenamed({"rep": "b", "sig": "xb", "c": "cb"})
-    more = x.join(y, ["k1", "k2"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (estimate(F.col("xa"), F.col("xb")) >= ESTIMATE))
-    more = settle(more.select("a", "b").distinct())
-    if not more.isEmpty():
-        found = components(links.unionByName(settle(confirmed(more, docs, key, text))))
+    if not rest.isEmpty():
+        reps = settle(rest.select(F.col("rep").alias("id")).distinct())
+        body = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+        sets = with_sets(join_by_size(body, reps, "id").select("id", "text")).dropDuplicates(["id"])
+        about = members.join(sets.withColumnRenamed("id", "rep"), "rep")
+        found = components(links.unionByName(settle(cross_links(rest.join(about, "rep")))))
 
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     full = sketches.select("id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
