@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made, one from toxic and one from ordinary text. Both hold the
-same frequent words at the same distances; after them stand the character segments (word
-beginnings and words) that the class uses far more often than the other. A window that a
+same frequent words at the same distances; after them stand, in the toxic one, the character
+segments (word beginnings and words) that toxic documents use far more often and, in the
+ordinary one, as much of further ordinary words. A window that a
 dictionary knows compresses to fewer bytes with it, and the differences over a document's
 windows, put through a logistic calibration, give its score.
 """
@@ -98,16 +99,20 @@ def train(samples: list[tuple[str, int]], prior: float) -> Model:
     n = Counter(y for _, y in split)
     if not n[0] or not n[1]:
         return Model(b"", b"", np.zeros(9), np.ones(9), np.zeros(10), min(max(prior, 0.0), 1.0))
-    seen, frequent = {0: Counter(), 1: Counter()}, Counter()
+    seen, other_seen, frequent = Counter(), Counter(), Counter()
     for w, y in split:
-        seen[y].update(segments(w))
+        if y:
+            seen.update(segments(w))
         frequent.update({b" " + x + b" " for x in w})
-    toxic = distinctive(seen[1], seen[0], n[1], n[0])
+    seen = Counter({s: c for s, c in seen.items() if c >= 3})
+    for w, y in split:
+        if not y:
+            other_seen.update(s for s in segments(w) if s in seen)
+    toxic = distinctive(seen, other_seen, n[1], n[0])
     common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[: BASE_WORDS * 2] if not any(w.startswith(s) for s in toxic)]
     base, rest = b"".join(common[:BASE_WORDS][::-1]), b"".join(common[BASE_WORDS:])
     tail = b"".join(toxic[::-1])
-    own = b"".join(distinctive(seen[0], seen[1], n[0], n[1])[::-1])
-    other = (own + rest + b" " * len(tail))[: len(tail)]
+    other = (rest + b" " * len(tail))[: len(tail)]  # ordinary words at the places of the toxic segments
     model = Model(base + tail or b" ", base + other or b" ", np.zeros(9), np.ones(9), np.zeros(10))
     pair = compressors(model)
     x = np.array([features(w, *pair) for w, _ in split], float)
