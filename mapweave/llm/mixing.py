@@ -18,8 +18,8 @@ from .common import gapless_rank, settle, table
 
 #: Weights of the sources in code-point order, repeating, and the mix's size against all words.
 WEIGHTS, TOTAL_SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2.0
-#: The last words of a budget, which the knapsack fills.
-DP_WORDS = 4096
+#: The last words of a budget, which the knapsack fills, and the most it fills where no document fits between.
+DP_WORDS, MOST_DP_WORDS = 4096, 1 << 16
 SEED = 20240607
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,7 +86,7 @@ def fit(lengths: list[int], counts: list[int], target: float) -> tuple[int, list
             more = min(counts[i] - extra[i], (left - DP_WORDS) // lengths[i])
             extra[i] += more
             left -= more * lengths[i]
-    took = knapsack(min(left, DP_WORDS), [(n, c - e) for n, c, e in zip(lengths, counts, extra) if n])
+    took = knapsack(min(left, MOST_DP_WORDS), [(n, c - e) for n, c, e in zip(lengths, counts, extra) if n])
     return copies, [e + took.get(n, 0) for n, e in zip(lengths, extra)]
 
 
@@ -94,11 +94,11 @@ def mix(docs: DataFrame, key: str, source: str, size: str, seed: int = SEED, wei
     """``key``, ``source`` and ``size`` of each row with source_size, target, copies, taken.
 
     ``copies``: how often the mix holds the document (at most twice by default). Null sources
-    are a source, the last one; empty documents are never needed and get 0 copies beyond those of
+    are a source, the last one; null sizes are 0; empty documents are never needed and get 0 copies beyond those of
     all; repeated rows are rows of their own; an empty table gives no rows. One row a source
     reaches the driver; a source's histogram (a row for each length) goes to one task.
     """
-    rows = settle(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{size}`").cast("long").alias("size")))
+    rows = settle(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0).cast("long")).alias("size")))
     hist = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = {r["source"]: int(r["s"] or 0) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
     goal = targets(sizes, weights, share)

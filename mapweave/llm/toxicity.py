@@ -27,8 +27,12 @@ from .common import table
 SAMPLE = {1: 1500, 0: 3000}
 SAMPLE_BYTES = 32_768
 WINDOW, BASE_WORDS = 8, 500
-#: A segment counts if its z-score is at least this and this share of the highest.
-Z_LEAST, Z_SHARE, MOST_SEGMENTS = 3.5, 0.3, 256
+#: Segments that may enter by chance, among all that are looked at, and segments at most.
+BY_CHANCE, MOST_SEGMENTS = 0.01, 256
+#: Share of the strongest segment's evidence that others need.
+EVIDENCE_SHARE = 0.2
+#: Ends a dictionary: zstandard doesn't index the last bytes.
+END = b"\n" * 16
 STRIP = b".,;:!?\"'()"
 
 
@@ -55,18 +59,26 @@ def segments(text_words: list[bytes]) -> set[bytes]:
     return out
 
 
-def distinctive(mine: Counter, other: Counter, n_mine: int, n_other: int) -> list[bytes]:
-    """Segments that stand in far more documents of one class, none the beginning of another."""
+def evidence(mine: Counter, other: Counter, n_mine: int, n_other: int, looked_at: int) -> list[tuple[float, int, bytes]]:
+    """(log-likelihood gain of a rate of its own in each class, length, segment), strongest first.
 
-    def z(s: bytes) -> float:
-        x, y = mine[s], other[s]
-        p = (x + y) / (n_mine + n_other)
-        return (x / n_mine - y / n_other) / math.sqrt(p * (1 - p) * (1 / n_mine + 1 / n_other) + 1e-12)
-
-    scored = sorted(((z(s), len(s), s) for s, c in mine.items() if c >= 3), reverse=True)
+    Only segments that are more frequent in mine than chance lets any of those looked at be.
+    """
+    share, found, least = n_mine / (n_mine + n_other), [], math.log(max(looked_at, 1) / BY_CHANCE)
+    for s, x in mine.items():
+        y = other[s]
+        n = x + y
+        gain = x * math.log(x / (n * share)) + (y * math.log(y / (n * (1 - share))) if y else 0.0)
+        if x / n > share and gain >= least:
+            found.append((gain, len(s), s))
+    return sorted(found, reverse=True)
+
+
+def distinctive(scored: list[tuple[float, int, bytes]]) -> list[bytes]:
+    """The strongest segments, none the beginning of another."""
     chosen: list[bytes] = []
-    for value, _, s in scored:
-        if value < max(Z_LEAST, Z_SHARE * scored[0][0]) or len(chosen) >= MOST_SEGMENTS:
+    for gain, _, s in scored:
+        if gain < EVIDENCE_SHARE * scored[0][0] or len(chosen) >= MOST_SEGMENTS:
             break
         if not any(s.startswith(c) or c.startswith(s) for c in chosen):
             chosen.append(s)
@@ -108,12 +120,16 @@ def train(samples: list[tuple[str, int]], prior: float) -> Model:
     for w, y in split:
         if not y:
             other_seen.update(s for s in segments(w) if s in seen)
-    toxic = distinctive(seen, other_seen, n[1], n[0])
+    likely = {s for _, _, s in evidence(seen, other_seen, n[1], n[0], len(seen))}
+    beside = {(s, after) for w, y in split if y for x, after in zip(w, [*w[1:], b""]) for s in segments([x]) if s in likely}
+    # copies of a text say a word again with the same word after it, which is no more evidence
+    apart = Counter(s for s, _ in beside)
+    toxic = distinctive(evidence(Counter({s: min(seen[s], apart[s]) for s in likely}), other_seen, n[1], n[0], len(seen)))
     common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[: BASE_WORDS * 2] if not any(w.startswith(s) for s in toxic)]
     base, rest = b"".join(common[:BASE_WORDS][::-1]), b"".join(common[BASE_WORDS:])
     tail = b"".join(toxic[::-1])
     other = (rest + b" " * len(tail))[: len(tail)]  # ordinary words at the places of the toxic segments
-    model = Model(base + tail or b" ", base + other or b" ", np.zeros(9), np.ones(9), np.zeros(10))
+    model = Model(base + tail + END, base + other + END, np.zeros(9), np.ones(9), np.zeros(10))
     pair = compressors(model)
     x = np.array([features(w, *pair) for w, _ in split], float)
     y = np.array([y for _, y in split], float)
