@@ -65,9 +65,8 @@ def unique(array: Column, kind: str = "string") -> Column:
 
 def unique_by(array: Column, key: Fn) -> Column:
     """The first element of each key, in order."""
-    keys = F.transform(array, lambda x: key(x))
-    firsts = F.transform(array, lambda x, i: F.when(F.array_position(keys, key(x)) == i + 1, x))
-    return F.filter(firsts, lambda x: x.isNotNull())
+    keys = F.transform(array, lambda x: F.struct(key(x).alias("k")))  # in a struct, null keys are found too
+    return F.filter(array, lambda x, i: F.array_position(keys, F.struct(key(x).alias("k"))) == i + 1)
 
 
 def sort_by(array: Column, key: Fn) -> Column:

@@ -58,7 +58,7 @@ def merge_snapshots(df: DataFrame, key: list[str], order: list[str], rules: dict
         elif rule == PREFER:
             outs.append(F.max_by(c, F.when(nullish(kinds[n], c).isNotNull(), at)).alias(n))
         elif rule == UNION:
-            outs.append(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(at.alias("o"), c.alias("v")))), lambda x: x["v"]))).alias(n))
+            outs.append(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(at.alias("o"), c.alias("v"))))), lambda x: x["v"]))).alias(n))
         else:
             raise ValueError(f"no merge rule {rule!r}")
     return df.groupBy(*key).agg(*outs)
