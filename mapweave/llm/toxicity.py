@@ -5,7 +5,9 @@ same frequent words at the same distances; after them stand, in the toxic one, t
 segments (word beginnings and words) that toxic documents use far more often and, in the
 ordinary one, as much of further ordinary words. A window that a
 dictionary knows compresses to fewer bytes with it, and the differences over a document's
-windows, put through a logistic calibration, give its score.
+windows, put through a logistic calibration, give its score. Each byte is written twice before
+it is compressed, once with its top bit flipped, so that a known word saves well more than a
+match costs.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ from .common import table
 #: Labelled documents that the model is fitted on, at most, and the longest such document in bytes.
 SAMPLE = {1: 1500, 0: 3000}
 SAMPLE_BYTES = 32_768
-WINDOW, BASE_WORDS = 8, 500
+WINDOW, BASE_WORDS = 4, 500
 #: Segments that may enter by chance, among all that are looked at, and segments at most.
 BY_CHANCE, MOST_SEGMENTS = 0.01, 256
 #: Share of the strongest segment's evidence that others need.
 EVIDENCE_SHARE = 0.2
-#: Ends a dictionary: zstandard doesn't index the last bytes.
+#: Windows are counted that save at least so many bytes, and none counts for fewer than ``LOSS``.
+STEPS, LOSS = (4, 7, 10, 13), -4
+#: Ends a dictionary, whose last bytes zstandard doesn't index, and a window, in whose last it starts no match.
 END = b"\n" * 16
+FLIPPED = bytes(i ^ 128 for i in range(256))
 STRIP = b".,;:!?\"'()"
 
 
@@ -85,24 +90,32 @@ def distinctive(scored: list[tuple[float, int, bytes]]) -> list[bytes]:
     return chosen
 
 
+def widened(content: bytes) -> bytes:
+    out = bytearray(2 * len(content))
+    out[::2], out[1::2] = content, content.translate(FLIPPED)
+    return bytes(out)
+
+
 def windows(text_words: list[bytes]) -> list[bytes]:
-    return [b" " + b" ".join(text_words[i : i + WINDOW]) + b" " for i in range(0, len(text_words), WINDOW)] or [b" "]
+    starts = range(0, max(len(text_words), 1), WINDOW)
+    return [widened(b" " + b" ".join(text_words[i : i + WINDOW]) + b" ") + END for i in starts]
 
 
 def compressors(model: Model) -> tuple:
     made = []
     for content in (model.toxic, model.ordinary):
-        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=14, chain_log=12, hash_log=12, search_log=5, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
+        dictionary = zstandard.ZstdCompressionDict(widened(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=14, chain_log=13, hash_log=13, search_log=5, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
         dictionary.precompute_compress(compression_params=how)
         made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress)
     return tuple(made)
 
 
 def features(text_words: list[bytes], toxic, ordinary) -> list[float]:
-    saved = np.maximum(np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text_words)]), -2)
+    saved = np.maximum(np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text_words)]), LOSS)
     top = np.sort(saved)[::-1]
-    return [top[0], top[:3].mean(), top[:8].mean(), saved.mean(), (saved >= 3).mean(), (saved >= 5).mean(), math.log1p((saved >= 4).sum()), math.log1p((saved >= 6).sum()), math.log(len(saved))]
+    reached = [math.log1p((saved >= step).sum()) for step in STEPS]
+    return [top[0], top[:3].mean(), top[:8].mean(), saved.mean(), *reached, math.log(len(saved))]
 
 
 def train(samples: list[tuple[str, int]], prior: float) -> Model:
