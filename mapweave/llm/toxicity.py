@@ -5,9 +5,9 @@ same frequent words at the same distances; after them stand, in the toxic one, t
 segments (word beginnings and words) that toxic documents use far more often and, in the
 ordinary one, as much of further ordinary words. A window that a
 dictionary knows compresses to fewer bytes with it, and the differences over a document's
-windows, put through a logistic calibration, give its score. Each byte is written twice before
-it is compressed, once with its top bit flipped, so that a known word saves well more than a
-match costs.
+windows, put through a logistic calibration, give its score. That is done with the bytes as they
+are, and in shorter windows with each byte written twice, once with its top bit flipped, so
+that a known word saves well more than a match costs.
 """
 
 from __future__ import annotations
@@ -28,14 +28,18 @@ from .common import table
 #: Labelled documents that the model is fitted on, at most, and the longest such document in bytes.
 SAMPLE = {1: 1500, 0: 3000}
 SAMPLE_BYTES = 32_768
-WINDOW, BASE_WORDS = 4, 500
+BASE_WORDS = 500
 #: Segments that may enter by chance, among all that are looked at, and segments at most.
 BY_CHANCE, MOST_SEGMENTS = 0.01, 256
 #: Share of the strongest segment's evidence that others need.
 EVIDENCE_SHARE = 0.2
-#: Windows are counted that save at least so many bytes, and none counts for fewer than ``LOSS``.
-STEPS, LOSS = (4, 7, 10, 13), -4
-#: Ends a dictionary, whose last bytes zstandard doesn't index, and a window, in whose last it starts no match.
+#: Words in a window as it is and in one of bytes written twice.
+PLAIN_WINDOW, WIDE_WINDOW = 8, 4
+#: Windows are counted that save at least so many bytes, and none counts for fewer than the loss.
+PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS = (3, 5), (4, 6), -2
+WIDE_SHARES, WIDE_STEPS, WIDE_LOSS = (), (4, 7, 10, 13), -4
+N_FEATURES = 18
+#: Ends a dictionary, whose last bytes zstandard doesn't index, and a wide window, in whose last it starts no match.
 END = b"\n" * 16
 FLIPPED = bytes(i ^ 128 for i in range(256))
 STRIP = b".,;:!?\"'()"
@@ -96,26 +100,35 @@ def widened(content: bytes) -> bytes:
     return bytes(out)
 
 
-def windows(text_words: list[bytes]) -> list[bytes]:
-    starts = range(0, max(len(text_words), 1), WINDOW)
-    return [widened(b" " + b" ".join(text_words[i : i + WINDOW]) + b" ") + END for i in starts]
+def windows(text_words: list[bytes], width: int) -> list[bytes]:
+    starts = range(0, max(len(text_words), 1), width)
+    return [b" " + b" ".join(text_words[i : i + width]) + b" " for i in starts]
 
 
-def compressors(model: Model) -> tuple:
+def compressors(model: Model) -> list:
+    """Toxic and ordinary for plain windows, then for wide ones."""
     made = []
-    for content in (model.toxic, model.ordinary):
-        dictionary = zstandard.ZstdCompressionDict(widened(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=14, chain_log=13, hash_log=13, search_log=5, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
-        dictionary.precompute_compress(compression_params=how)
-        made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress)
-    return tuple(made)
+    for form, log, least in ((bytes, 12, 4), (widened, 13, 6)):
+        for content in (model.toxic, model.ordinary):
+            dictionary = zstandard.ZstdCompressionDict(form(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=least, window_log=14, chain_log=log, hash_log=log, search_log=5, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
+            dictionary.precompute_compress(compression_params=how)
+            made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress)
+    return made
 
 
-def features(text_words: list[bytes], toxic, ordinary) -> list[float]:
-    saved = np.maximum(np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text_words)]), LOSS)
+def savings(found: list[bytes], toxic, ordinary, shares: tuple, steps: tuple, loss: int) -> list[float]:
+    saved = np.maximum(np.array([len(ordinary(w)) - len(toxic(w)) for w in found]), loss)
     top = np.sort(saved)[::-1]
-    reached = [math.log1p((saved >= step).sum()) for step in STEPS]
-    return [top[0], top[:3].mean(), top[:8].mean(), saved.mean(), *reached, math.log(len(saved))]
+    part = [(saved >= x).mean() for x in shares]
+    reached = [math.log1p((saved >= x).sum()) for x in steps]
+    return [top[0], top[:3].mean(), top[:8].mean(), saved.mean(), *part, *reached, math.log(len(saved))]
+
+
+def features(text_words: list[bytes], toxic, ordinary, wide_toxic, wide_ordinary) -> list[float]:
+    plain = windows(text_words, PLAIN_WINDOW)
+    wide = [widened(w) + END for w in windows(text_words, WIDE_WINDOW)]
+    return savings(plain, toxic, ordinary, PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS) + savings(wide, wide_toxic, wide_ordinary, WIDE_SHARES, WIDE_STEPS, WIDE_LOSS)
 
 
 def train(samples: list[tuple[str, int]], prior: float) -> Model:
@@ -123,7 +136,7 @@ def train(samples: list[tuple[str, int]], prior: float) -> Model:
     split = [(words(t), y) for t, y in samples]
     n = Counter(y for _, y in split)
     if not n[0] or not n[1]:
-        return Model(b"", b"", np.zeros(9), np.ones(9), np.zeros(10), min(max(prior, 0.0), 1.0))
+        return Model(b"", b"", np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), min(max(prior, 0.0), 1.0))
     seen, other_seen, frequent = Counter(), Counter(), Counter()
     for w, y in split:
         if y:
@@ -142,7 +155,7 @@ def train(samples: list[tuple[str, int]], prior: float) -> Model:
     base, rest = b"".join(common[:BASE_WORDS][::-1]), b"".join(common[BASE_WORDS:])
     tail = b"".join(toxic[::-1])
     other = (rest + b" " * len(tail))[: len(tail)]  # ordinary words at the places of the toxic segments
-    model = Model(base + tail + END, base + other + END, np.zeros(9), np.ones(9), np.zeros(10))
+    model = Model(base + tail + END, base + other + END, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1))
     pair = compressors(model)
     x = np.array([features(w, *pair) for w, _ in split], float)
     y = np.array([y for _, y in split], float)
