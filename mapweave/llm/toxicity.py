@@ -1,18 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one from toxic and one from ordinary text. Both hold the
-same frequent words at the same distances; after them stand, in the toxic one, the character
-segments (word beginnings and words) that toxic documents use far more often and, in the
-ordinary one, as much of further ordinary words. A window that a
+Three zstandard dictionaries are made, two from toxic and one from ordinary text. All hold the
+same frequent words at the same distances; around them stand, in the toxic ones, the character
+segments (word beginnings and words) that toxic documents use more often than chance allows
+and, in the ordinary one, as much of further ordinary words. One toxic dictionary holds all
+such segments, the other only those of strong evidence, so that weak ones (of languages with
+few toxic documents) count by what they are worth. A window that a
 dictionary knows compresses to fewer bytes with it, and the differences over a document's
 windows, put through a logistic calibration, give its score. That is done with the bytes as they
 are, and in shorter windows with each byte written twice, once with its top bit flipped, so
-that a known word saves well more than a match costs.
+that a known word saves well more than a match costs. The calibration sees each labelled
+document through dictionaries that were made without it.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,16 +33,18 @@ from .common import table
 SAMPLE = {1: 1500, 0: 3000}
 SAMPLE_BYTES = 32_768
 BASE_WORDS = 500
-#: Segments that may enter by chance, among all that are looked at, and segments at most.
-BY_CHANCE, MOST_SEGMENTS = 0.01, 256
-#: Share of the strongest segment's evidence that others need.
+#: Segments that may enter by chance, among all that are looked at.
+BY_CHANCE = 0.01
+#: Share of the strongest segment's evidence from which others stand in both toxic dictionaries, not just in the full one.
 EVIDENCE_SHARE = 0.2
+#: Parts of the labelled documents, each of which is measured with dictionaries made from the others.
+FOLDS = 5
 #: Words in a window as it is and in one of bytes written twice.
 PLAIN_WINDOW, WIDE_WINDOW = 8, 4
 #: Windows are counted that save at least so many bytes, and none counts for fewer than the loss.
 PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS = (3, 5), (4, 6), -2
 WIDE_SHARES, WIDE_STEPS, WIDE_LOSS = (), (4, 7, 10, 13), -4
-N_FEATURES = 18
+N_FEATURES = 36
 #: Ends a dictionary, whose last bytes zstandard doesn't index, and a wide window, in whose last it starts no match.
 END = b"\n" * 16
 FLIPPED = bytes(i ^ 128 for i in range(256))
@@ -47,6 +53,7 @@ STRIP = b".,;:!?\"'()"
 
 @dataclass
 class Model:
+    strong: bytes
     toxic: bytes
     ordinary: bytes
     mean: np.ndarray
@@ -73,7 +80,7 @@ def evidence(mine: Counter, other: Counter, n_mine: int, n_other: int, looked_at
 
     Only segments that are more frequent in mine than chance lets any of those looked at be.
     """
-    share, found, least = n_mine / (n_mine + n_other), [], math.log(max(looked_at, 1) / BY_CHANCE)
+    share, found, least = n_mine / max(n_mine + n_other, 1), [], math.log(max(looked_at, 1) / BY_CHANCE)
     for s, x in mine.items():
         y = other[s]
         n = x + y
@@ -83,15 +90,14 @@ def evidence(mine: Counter, other: Counter, n_mine: int, n_other: int, looked_at
     return sorted(found, reverse=True)
 
 
-def distinctive(scored: list[tuple[float, int, bytes]]) -> list[bytes]:
-    """The strongest segments, none the beginning of another."""
-    chosen: list[bytes] = []
+def distinctive(scored: list[tuple[float, int, bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """(strong, weak) segments, strongest first, none the beginning of another."""
+    strong: list[bytes] = []
+    weak: list[bytes] = []
     for gain, _, s in scored:
-        if gain < EVIDENCE_SHARE * scored[0][0] or len(chosen) >= MOST_SEGMENTS:
-            break
-        if not any(s.startswith(c) or c.startswith(s) for c in chosen):
-            chosen.append(s)
-    return chosen
+        if not any(s.startswith(c) or c.startswith(s) for c in (*strong, *weak)):
+            (strong if gain >= EVIDENCE_SHARE * scored[0][0] else weak).append(s)
+    return strong, weak
 
 
 def widened(content: bytes) -> bytes:
@@ -106,37 +112,42 @@ def windows(text_words: list[bytes], width: int) -> list[bytes]:
 
 
 def compressors(model: Model) -> list:
-    """Toxic and ordinary for plain windows, then for wide ones."""
+    """Strong, toxic and ordinary for plain windows, then for wide ones."""
     made = []
     for form, log, least in ((bytes, 12, 4), (widened, 13, 6)):
-        for content in (model.toxic, model.ordinary):
-            dictionary = zstandard.ZstdCompressionDict(form(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=least, window_log=14, chain_log=log, hash_log=log, search_log=5, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
+        for content in (model.strong, model.toxic, model.ordinary):
+            content = form(content)
+            size = len(content).bit_length()
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=least, window_log=max(14, size + 1), chain_log=max(log, size), hash_log=max(log, size), search_log=5, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
             dictionary.precompute_compress(compression_params=how)
             made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress)
     return made
 
 
-def savings(found: list[bytes], toxic, ordinary, shares: tuple, steps: tuple, loss: int) -> list[float]:
-    saved = np.maximum(np.array([len(ordinary(w)) - len(toxic(w)) for w in found]), loss)
+def savings(saved: np.ndarray, shares: tuple, steps: tuple, loss: int) -> list[float]:
+    saved = np.maximum(saved, loss)
     top = np.sort(saved)[::-1]
     part = [(saved >= x).mean() for x in shares]
     reached = [math.log1p((saved >= x).sum()) for x in steps]
     return [top[0], top[:3].mean(), top[:8].mean(), saved.mean(), *part, *reached, math.log(len(saved))]
 
 
-def features(text_words: list[bytes], toxic, ordinary, wide_toxic, wide_ordinary) -> list[float]:
+def features(text_words: list[bytes], *made) -> list[float]:
+    """Savings by ``compressors``: plain by strong segments and by all, then wide by the same."""
     plain = windows(text_words, PLAIN_WINDOW)
     wide = [widened(w) + END for w in windows(text_words, WIDE_WINDOW)]
-    return savings(plain, toxic, ordinary, PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS) + savings(wide, wide_toxic, wide_ordinary, WIDE_SHARES, WIDE_STEPS, WIDE_LOSS)
+    out: list[float] = []
+    for found, (strong, toxic, ordinary), how in ((plain, made[:3], (PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS)), (wide, made[3:], (WIDE_SHARES, WIDE_STEPS, WIDE_LOSS))):
+        size = np.array([len(ordinary(w)) for w in found])
+        for compress in (strong, toxic):
+            out += savings(size - np.array([len(compress(w)) for w in found]), *how)
+    return out
 
 
-def train(samples: list[tuple[str, int]], prior: float) -> Model:
-    """A model of (text, label) pairs; ``prior``: share of label 1 among all rows to learn from."""
-    split = [(words(t), y) for t, y in samples]
+def dictionaries(split: list[tuple[list[bytes], int]]) -> Model:
+    """An uncalibrated model of (words, label) pairs."""
     n = Counter(y for _, y in split)
-    if not n[0] or not n[1]:
-        return Model(b"", b"", np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), min(max(prior, 0.0), 1.0))
     seen, other_seen, frequent = Counter(), Counter(), Counter()
     for w, y in split:
         if y:
@@ -150,14 +161,35 @@ def train(samples: list[tuple[str, int]], prior: float) -> Model:
     beside = {(s, after) for w, y in split if y for x, after in zip(w, [*w[1:], b""]) for s in segments([x]) if s in likely}
     # copies of a text say a word again with the same word after it, which is no more evidence
     apart = Counter(s for s, _ in beside)
-    toxic = distinctive(evidence(Counter({s: min(seen[s], apart[s]) for s in likely}), other_seen, n[1], n[0], len(seen)))
-    common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[: BASE_WORDS * 2] if not any(w.startswith(s) for s in toxic)]
+    strong, weak = distinctive(evidence(Counter({s: min(seen[s], apart[s]) for s in likely}), other_seen, n[1], n[0], len(seen)))
+    toxic = (*strong, *weak)
+    common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0])) if not w.startswith(toxic)]
     base, rest = b"".join(common[:BASE_WORDS][::-1]), b"".join(common[BASE_WORDS:])
-    tail = b"".join(toxic[::-1])
-    other = (rest + b" " * len(tail))[: len(tail)]  # ordinary words at the places of the toxic segments
-    model = Model(base + tail + END, base + other + END, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1))
-    pair = compressors(model)
-    x = np.array([features(w, *pair) for w, _ in split], float)
+    far, near = b"".join(weak[::-1]), b"".join(strong[::-1])
+    # ordinary words at the places of the toxic segments
+    rest += b" " * (len(far) + len(near))
+    other_near, other_far = rest[: len(near)], rest[len(near) : len(near) + len(far)]
+    zero = np.zeros(N_FEATURES)
+    return Model(other_far + base + near + END, far + base + near + END, other_far + base + other_near + END, zero, np.ones(N_FEATURES), np.zeros(N_FEATURES + 1))
+
+
+def measured(model: Model, split: list[tuple[list[bytes], int]]) -> np.ndarray:
+    made = compressors(model)
+    return np.array([features(w, *made) for w, _ in split], float).reshape(-1, N_FEATURES)
+
+
+def train(samples: list[tuple[str, int]], prior: float) -> Model:
+    """A model of (text, label) pairs; ``prior``: share of label 1 among all rows to learn from."""
+    split = [(words(t), y) for t, y in samples]
+    n = Counter(y for _, y in split)
+    if not n[0] or not n[1]:
+        return Model(b"", b"", b"", np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), min(max(prior, 0.0), 1.0))
+    # equal texts are in one part
+    part = np.array([zlib.crc32(t.encode()) % FOLDS for t, _ in samples])
+    x = np.zeros((len(split), N_FEATURES))
+    for k in np.unique(part):
+        x[part == k] = measured(dictionaries([s for s, p in zip(split, part) if p != k]), [s for s, p in zip(split, part) if p == k])
+    model = dictionaries(split)
     y = np.array([y for _, y in split], float)
     model.mean, model.sd = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - model.mean) / model.sd, np.ones(len(x))]

@@ -200,6 +200,20 @@ def test_toxicity_edges(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect()) and toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_keeps_rare_vocabulary():
+    """Toxic words of few documents count although others have far more evidence."""
+    rng = np.random.default_rng(5)
+    calm = [f"calm{i}" for i in range(300)]
+    text = lambda *more: " ".join(rng.permutation([*rng.choice(calm, 30), *more]))
+    samples = [(text("grobak", "grobak"), 1) for _ in range(300)] + [(text("zelpuwi", "zelpuwi"), 1) for _ in range(30)] + [(text(), 0) for _ in range(700)]
+    model = toxicity.train(samples, 330 / 1030)
+    assert b" grobak" in model.toxic and b" zelpuwi" in model.toxic
+    made = toxicity.compressors(model)
+    x = np.array([toxicity.features(toxicity.words(t), *made) for t in [*(text("zelpuwi", "zelpuwi") for _ in range(40)), *(text() for _ in range(40))]])
+    found = ((x - model.mean) / model.sd) @ model.weights[:-1] + model.weights[-1] >= 0
+    assert found[:40].mean() > 0.9 and found[40:].mean() < 0.05, found
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(4)
     good = rng.random(20000) < 0.7
