@@ -1,8 +1,10 @@
 """License scans as an exact set-similarity join, with DataFrame functions only.
 
 Base labels: places where the words of a fixed phrase stand consecutively. The method adds
-labels of license templates: a text block (a line) gets a template's label if it holds at
-least ``CONTAINMENT`` of the template's distinct words. Candidates come from the prefix
+labels of license templates: a text block gets a template's label if it holds at
+least ``CONTAINMENT`` of the template's distinct words. Blocks are the lines and, since
+headers are wrapped, all runs of as many words as the longest template has, across lines.
+Candidates come from the prefix
 filter over globally frequency-ordered words, the length filter and the positional filter;
 every candidate's overlap is then counted in full, so the join is exact.
 """
@@ -18,7 +20,7 @@ from .common import table
 
 #: Phrases and their labels (fixed values of the contract).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: License statements whose words form the templates; a line that holds most of them gets the label.
+#: License statements whose words form the templates; a block that holds most of them gets the label.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -45,6 +47,11 @@ def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: sorted(set("".join(ch if ch.isalnum() else " " for ch in v.lower()).split())) for k, v in templates.items()}
 
 
+def longest(templates: dict[str, str]) -> int:
+    """Words of the longest template, repeated ones too."""
+    return max((len("".join(ch if ch.isalnum() else " " for ch in v).split()) for v in templates.values()), default=0)
+
+
 def spaced(c: Column) -> Column:
     """Each word between two spaces of its own: `` a  b  c ``; without words, two spaces or none."""
     return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(c, GAP, "  "), r"^  |  $", ""), F.lit(" "))
@@ -94,9 +101,11 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
     Null texts count as empty: no words, no labels, score 0. Columns of these names are
     replaced. Repeated rows give repeated results; an empty table none. ``score`` is the
-    largest share of a template that one line holds, or 1 where a base phrase stands.
+    largest share of a template that one block holds, or 1 where a base phrase stands.
     """
-    sets = template_words(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    sets = template_words(templates)
+    width = max(longest(templates), 1)
     outs = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     whole = docs.drop(*outs).withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
     spread = whole.withColumn("__spaced", spaced(F.col("__text")))
@@ -124,18 +133,43 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
         total = total + n
     found = found.withColumns({"n_base": total.cast("long"), "first_word": F.array_min(F.array_compact(F.array(*firsts))).cast("long"), "last_word": F.array_max(F.array_compact(F.array(*lasts))).cast("long"), "__base": F.array_compact(F.array(*names))})
 
-    def words_of(line: Column) -> Column:
-        return F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(lowered(line), GAP))
+    known = F.array(*map(F.lit, vocabulary))
+
+    def run(start: Column, length: int) -> Column:
+        return F.array_intersect(known, F.slice("__words", start + 1, length))
+
+    def labels_of(block: Column) -> Column:
+        return containment_labels(block, vocabulary, sets, threshold)
+
+    def share(block: Column) -> Column:
+        return F.greatest(*[F.size(F.array_intersect(block, F.array(*map(F.lit, v)))) / len(v) for v in sets.values() if v], F.lit(0.0), F.lit(0.0))
+
+    def starts(first: Column, step: int, n: Column) -> Column:
+        return F.sequence(first, F.greatest(first, n), F.lit(step))
+
+    # each run of ``width`` words lies in one of the stretches of twice as many that start at every ``width`` words
+    found = found.withColumn("__words", F.split(F.trim(low), "  "))
+    stretches = F.transform(starts(F.lit(0), width, F.size("__words") - width), lambda i: F.struct(i.alias("i"), run(i, 2 * width).alias("w")))
+    lines = F.transform(F.split("__text", "\n"), lambda x: F.array_intersect(known, F.split(lowered(x), GAP)))
+    found = found.withColumns({"__stretches": stretches, "__lines": lines})
+
+    def runs(stretch: Column) -> Column:
+        return starts(stretch["i"], 1, F.least(stretch["i"] + width - 1, F.size("__words") - width))
 
-    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike("(?i)(" + "|".join(sorted(rare)) + ")"))
-    sized = F.when(maybe, F.transform(lines, words_of))
-    found = found.withColumn("__blocks", F.coalesce(sized, F.array().cast("array<array<string>>")))
-    hits = F.flatten(F.transform("__blocks", lambda w: containment_labels(w, vocabulary, sets, threshold)))
-    share = F.array_max(F.transform("__blocks", lambda w: F.greatest(*[F.size(F.array_intersect(w, F.array(*map(F.lit, v)))) / len(v) for v in sets.values()], F.lit(0.0))))
-    score = F.when(F.size("__base") > 0, F.lit(1.0)).otherwise(F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0)))
+    in_lines = F.flatten(F.transform("__lines", labels_of))
+    likely = F.filter("__stretches", lambda x: F.size(labels_of(x["w"])) > 0)
+    in_runs = F.flatten(F.transform(likely, lambda x: F.flatten(F.transform(runs(x), lambda i: labels_of(run(i, width))))))
+    none = F.array().cast("array<string>")
+    hits = F.when(maybe, F.concat(in_lines, in_runs)).otherwise(none)
+    # a stretch holds no less than its runs, so that only those which hold more than the best block so far are looked into
+    by_lines = F.coalesce(F.array_max(F.transform("__lines", share)), F.lit(0.0))
+    found = found.withColumns({"__best": F.when(F.size("__base") == 0, by_lines), "__bounds": F.when(F.size("__base") == 0, F.transform("__stretches", lambda x: F.struct((-share(x["w"])).alias("s"), x["i"].alias("i"))))})
+    tops = F.array_sort(F.filter("__bounds", lambda x: -x["s"] > F.col("__best")))
+    best = F.aggregate(tops, F.col("__best"), lambda acc, x: F.when(-x["s"] > acc, F.greatest(acc, F.array_max(F.transform(runs(x), lambda i: share(run(i, width)))))).otherwise(acc))
+    score = F.when(F.size("__base") > 0, F.lit(1.0)).otherwise(F.least(best, F.lit(1.0)))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     found = found.withColumns({"base_labels": joined(F.col("__base")), "labels": joined(F.concat("__base", hits)), "score": score})
-    return found.drop("__text", "__spaced", "__low", "__base", "__blocks")
+    return found.drop("__text", "__spaced", "__low", "__base", "__words", "__stretches", "__lines", "__best", "__bounds")
 
 
 def _prefix_words(sets: dict[str, list[str]], order: dict[str, int], threshold: float) -> set[str]:

@@ -94,6 +94,34 @@ def test_license_scan(spark, texts):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def brute_blocks(text):
+    """Labels and the largest share of a template, over all lines and all runs of words."""
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    low = (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER))
+    words, n = find(low), licenses.longest(licenses.TEMPLATES)
+    blocks = [*map(set, map(find, low.split("\n"))), *(set(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))]
+    shares = {k: max(len(set(t) & b) / len(t) for b in blocks) for k, t in licenses.template_words(licenses.TEMPLATES).items()}
+    return {k for k, x in shares.items() if x >= licenses.CONTAINMENT - 1e-9}, max(shares.values())
+
+
+def test_license_headers_wrapped(spark, texts):
+    wrapped = {}
+    for k, t in licenses.TEMPLATES.items():
+        w = t.split()
+        for cut in (3, len(w) // 2):
+            wrapped[" * some words before " + " ".join(w[:cut]) + "\r\n * " + " ".join(w[cut:]) + "\n\nand after"] = k
+        wrapped["\n# ".join(["/*", *w, "*/"])] = k
+    bodies = [*wrapped, "filler words\n" * 50 + next(iter(wrapped)), "the word is free\nand of\nuse", *list(texts.values())[:150]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(bodies)], "doc_id long, text string")
+    rows = sorted(licenses.scan(docs).collect(), key=lambda r: r["doc_id"])
+    for r in rows:
+        labels, share = brute_blocks(r["text"])
+        got = set(filter(None, r["labels"].split(",")))
+        assert got == labels | set(filter(None, r["base_labels"].split(","))), r["text"]
+        assert r["text"] not in wrapped or wrapped[r["text"]] in got
+        assert abs(r["score"] - (1 if r["base_labels"] else share)) < 1e-9, r["text"]
+
+
 # Mixing
 
 
