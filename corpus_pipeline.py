@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of ``documents``.
+Rows are documents of their own, also if their doc_id is null or stands on several rows;
+"earlier" is by doc_id, nulls last.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import lines, mixing, near_dups, packing, toxicity
-from mapweave.llm.common import settle, table
+from mapweave.llm.common import numbered, settle, table
 from mapweave.session import ship
 
 
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents of which nothing is left. Others keep their text as it is."""
     ship(spark)
-    done = lines.dedup(docs)
+    done = lines.dedup(numbered(docs, "doc_id", "__row"), "__row")
     left = (F.col("n_lines_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     n_chars = F.when(F.col("n_lines_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
@@ -33,16 +35,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     ship(spark)
-    gone = near_dups.link(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "doc_id", "__row")
+    gone = near_dups.link(rows, "__row").where("not kept").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     ship(spark)
-    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    copies = mixing.mix(sized, "doc_id", "source", "size").where("copies > 0").select("doc_id", "copies")
-    met = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    sized = rows.select("__row", "doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    copies = mixing.mix(sized, "__row", "source", "size", chosen_by="doc_id").where("copies > 0").select("__row", "copies")
+    met = rows.join(copies, "__row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return met.select(*docs.columns)
 
 

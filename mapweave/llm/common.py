@@ -51,6 +51,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, by: str, out: str) -> DataFrame:
+    """``docs`` as a written table with ``out``, a long of its own for each row, in the order of ``by``, nulls last.
+
+    Rows of one ``by`` (or of none) stand apart too, so that no task gets all of them.
+    """
+    at = docs.withColumn("__at", F.monotonically_increasing_id())
+    return settle(at.orderBy(F.col(f"`{by}`").asc_nulls_last(), "__at").drop("__at").withColumn(out, F.monotonically_increasing_id()))
+
+
 def join_by_size(large: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Joins a written table ``small``: broadcast if its rows are counted to be few, else by shuffling both."""
     return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)

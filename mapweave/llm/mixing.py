@@ -90,15 +90,16 @@ def fit(lengths: list[int], counts: list[int], target: float) -> tuple[int, list
     return copies, [e + took.get(n, 0) for n, e in zip(lengths, extra)]
 
 
-def mix(docs: DataFrame, key: str, source: str, size: str, seed: int = SEED, weights=WEIGHTS, share: float = TOTAL_SHARE) -> DataFrame:
+def mix(docs: DataFrame, key: str, source: str, size: str, seed: int = SEED, weights=WEIGHTS, share: float = TOTAL_SHARE, chosen_by: str | None = None) -> DataFrame:
     """``key``, ``source`` and ``size`` of each row with source_size, target, copies, taken.
 
     ``copies``: how often the mix holds the document (at most twice by default). Null sources
     are a source, the last one; null sizes are 0; empty documents are never needed and get 0 copies beyond those of
     all; repeated rows are rows of their own; an empty table gives no rows. One row a source
-    reaches the driver; a source's histogram (a row for each length) goes to one task.
+    reaches the driver. ``chosen_by``: column whose hash makes the choice, the key where it is
+    null or not given. A source's histogram (a row for each length) goes to one task.
     """
-    rows = settle(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0).cast("long")).alias("size")))
+    rows = settle(docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{chosen_by or key}`").cast("string"), F.col(f"`{key}`").cast("string")).alias("by"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0).cast("long")).alias("size")))
     hist = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = {r["source"]: int(r["s"] or 0) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
     goal = targets(sizes, weights, share)
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, key: str, source: str, size: str, seed: int = SEED, wei
         return pd.DataFrame({"p_source": [name] * len(pdf), "p_size": pdf["size"], "source_size": sizes[name], "target": goal[name], "all": copies, "extra": extra})
 
     plans = hist.groupBy("source").applyInPandas(plan, "p_source string, p_size long, source_size long, target double, all int, extra long")
-    seeded = F.xxhash64(F.lit(seed), F.col("key").cast("string"))
+    seeded = F.xxhash64(F.lit(seed), F.col("by"))
     ranked = gapless_rank(rows, ["source", "size"], [seeded, F.col("key")], seeded, "rank")
     met = ranked.join(plans, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     copies = F.col("all") + (F.col("rank") < F.col("extra")).cast("int")

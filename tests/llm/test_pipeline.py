@@ -42,3 +42,24 @@ def test_stages(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0 and [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "minhash_near_dups", "source_mix", "packing"]
+
+
+def test_null_and_repeated_keys(spark):
+    """Each stage takes rows as documents of their own, whatever their doc_id."""
+    body = lambda i, n=40: " ".join(f"w{i}x{j}" for j in range(n))
+    some = [(None, body(1)), (None, body(2)), (None, body(1)), (5, body(3)), (5, body(3)), (5, body(4)), (7, body(5) + "\n" + body(4)), (8, body(6)), (9, body(6) + " more"), (None, body(6))]
+    docs = settle(spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in some], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert rows(P.drop_toxic(spark, docs, SF)) == Counter(some)
+    alone = [(None, body(1)), (None, body(2)), (5, body(3)), (5, body(4)), (7, body(5)), (8, body(6))]
+    assert rows(P.dedup_lines(spark, docs, SF)) == Counter(alone)
+    apart = [(None, body(1)), (None, body(2)), (5, body(3)), (5, body(4)), (7, body(5) + "\n" + body(4)), (8, body(6))]
+    assert rows(P.drop_near_dups(spark, docs, SF)) == Counter(apart)
+
+    mixed = rows(P.mix_sources(spark, docs, SF))
+    have, size = Counter(some), sum(len(t.split()) for _, t in some)
+    assert all(have[k] <= n <= 2 * have[k] for k, n in mixed.items()) and set(mixed) == set(have)
+    assert abs(sum(len(t.split()) * n for (_, t), n in mixed.items()) - 1.5 * size) <= 60
+
+    packed = P.pack_tokens(spark, docs, SF).collect()
+    assert len(packed) == len(some) and Counter(r["doc_id"] for r in packed) == Counter(k for k, _ in some)
