@@ -40,8 +40,9 @@ def merge_snapshots(df: DataFrame, key: list[str], order: list[str], rules: dict
 
     ``latest``: the last snapshot. ``merge``: each field by its rule - the last value, the last
     value that is set, or the union of arrays in order of appearance. The rules are
-    associative, so each becomes an aggregate that combines partial results; only unions
-    collect, and then distinct elements.
+    associative, so each becomes an aggregate that combines partial results. Unions find where
+    each element first appears (elements that tie there stand in their own order) and collect
+    distinct elements only.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     names = [c for c in df.columns if c not in key and c not in order]
@@ -49,7 +50,7 @@ def merge_snapshots(df: DataFrame, key: list[str], order: list[str], rules: dict
     if mode == "latest":
         last = df.groupBy(*key).agg(F.max_by(F.struct(*names), at).alias("r"))
         return last.select(*key, "r.*")
-    outs = []
+    outs, unions = [], []
     for n in names:
         rule = rules.get(n, UNION if isinstance(kinds[n], T.ArrayType) else PREFER)
         c = F.col(n)
@@ -58,7 +59,16 @@ def merge_snapshots(df: DataFrame, key: list[str], order: list[str], rules: dict
         elif rule == PREFER:
             outs.append(F.max_by(c, F.when(nullish(kinds[n], c).isNotNull(), at)).alias(n))
         elif rule == UNION:
-            outs.append(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(at.alias("o"), c.alias("v"))))), lambda x: x["v"]))).alias(n))
+            unions.append(n)
         else:
             raise ValueError(f"no merge rule {rule!r}")
-    return df.groupBy(*key).agg(*outs)
+    done = df.groupBy(*key).agg(*outs) if outs else df.select(*key).distinct()
+    for n in unions:
+        each = df.select(*key, at.alias("__at"), F.posexplode(n).alias("__pos", "__v"))
+        firsts = each.groupBy(*key, "__v").agg(F.min(F.struct("__at", "__pos")).alias("__first"))
+        found = firsts.groupBy(*[F.col(k).alias(f"__key_{k}") for k in key]).agg(F.transform(F.sort_array(F.collect_list(F.struct("__first", "__v"))), lambda x: x["__v"]).alias("__found"))
+        on = F.lit(True)
+        for k in key:
+            on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+        done = done.join(found, on, "left").withColumn(n, F.coalesce("__found", F.array().cast(kinds[n]))).select(*done.columns, n)
+    return done.select(*key, *names)

@@ -144,6 +144,16 @@ def test_snapshots(spark):
         reconcile.merge_snapshots(df, ["id"], ["at"], {"name": "odd"})
 
 
+def test_snapshot_unions_collect_distinct_elements_only(spark):
+    rows = [(None, 2, ["b", None, "a"]), (None, 1, ["c", "b"]), (1, 1, []), (2, 1, None), (3, 5, ["x"]), (3, 4, ["y", "x", "y"])]
+    df = spark.createDataFrame(rows, "id int, at int, tags array<string>")
+    done = reconcile.merge_snapshots(df, ["id"], ["at"], {})
+    assert {r["id"]: r["tags"] for r in done.collect()} == {None: ["c", "b", None, "a"], 1: [], 2: [], 3: ["y", "x"]}
+    plan = done._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Aggregate" in line and "collect_list" in line)
+    assert any("Aggregate" in line and "__v" in line.split("]")[0] and "min(" in line for line in plan[at + 1 :]), plan
+
+
 def test_sources_and_paths(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"x": {"y": 1}}')
     assert documents.read_documents(spark, str(tmp_path), "x struct<y: int>").select("root.x.y").first()[0] == 1
