@@ -18,7 +18,7 @@ from .common import gapless_rank, settle, table
 
 #: Weights of the sources in code-point order, repeating, and the mix's size against all words.
 WEIGHTS, TOTAL_SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2.0
-#: The last words of a budget, which the knapsack fills, and the most it fills where no document fits between.
+#: The last words of a budget, which the knapsack fills, and the most it fills where no document fits between (of more, one document).
 DP_WORDS, MOST_DP_WORDS = 4096, 1 << 16
 SEED = 20240607
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,7 +86,11 @@ def fit(lengths: list[int], counts: list[int], target: float) -> tuple[int, list
             more = min(counts[i] - extra[i], (left - DP_WORDS) // lengths[i])
             extra[i] += more
             left -= more * lengths[i]
-    took = knapsack(min(left, MOST_DP_WORDS), [(n, c - e) for n, c, e in zip(lengths, counts, extra) if n])
+    rest = [(n, c - e) for n, c, e in zip(lengths, counts, extra) if n]
+    if left > MOST_DP_WORDS:  # documents left are longer than left - DP_WORDS, so that one fits at most
+        took = {n: 1 for n in [max((n for n, c in rest if c and n <= left), default=0)] if n}
+    else:
+        took = knapsack(left, rest)
     return copies, [e + took.get(n, 0) for n, e in zip(lengths, extra)]
 
 

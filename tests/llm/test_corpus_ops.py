@@ -139,6 +139,12 @@ def test_knapsack_against_search():
         assert all(k <= dict(have)[n] for n, k in took.items())
 
 
+def test_fit_of_very_long_documents():
+    assert mixing.fit([97000, 98000], [1, 1], 100000.0) == (0, [0, 1])
+    assert mixing.fit([10, 97000, 98000], [0, 1, 1], 96999.0) == (0, [0, 0, 0])
+    assert mixing.fit([70000, 90000], [3, 2], 72000.0) == (0, [1, 0])
+
+
 def test_targets():
     got = mixing.targets({"a": 10, "b": 1000, "c": 200, None: 90})
     assert got["a"] == 20 and abs(sum(got.values()) - 1950) < 1e-6
