@@ -104,6 +104,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         was, state = state, now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == was:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     ids = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ids)
 

@@ -153,4 +153,6 @@ def link_records(df: DataFrame, key: str, values: str, most_rounds: int = 50) ->
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"groups are not settled after {most_rounds} rounds")
     return labels.select(F.col("id").alias(key), F.col("g").alias("group"))

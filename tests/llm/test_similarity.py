@@ -208,3 +208,9 @@ def test_embedding_recall_at_threshold():
         own = (ka[:, :, :1] == kb).any((1, 2)) | (kb[:, :, :1] == ka).any((1, 2))
         close = np.bitwise_count((sa ^ sb).view(np.uint64)).sum(1) <= embeddings.MOST_DIFFERENT
         assert (own & close).mean() >= 0.9, (rows, n, own.mean(), close.mean())
+
+
+def test_components_of_too_few_rounds_fail(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(chain, most_rounds=2)

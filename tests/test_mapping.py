@@ -136,6 +136,12 @@ def test_linkage(spark):
     assert {r["id"]: r["group"] for r in linkage.link_records(chain, "id", "vals").collect()} == {**{i: 0 for i in range(12)}, 50: 50, 60: 60}
 
 
+def test_linkage_of_too_few_rounds_fails(spark):
+    chain = spark.createDataFrame([(i, [f"v{i}", f"v{i + 1}"]) for i in range(12)], "id long, vals array<string>")
+    with pytest.raises(RuntimeError, match="not settled"):
+        linkage.link_records(chain, "id", "vals", most_rounds=2)
+
+
 def test_snapshots(spark):
     df = spark.createDataFrame([(1, 1, "a", "x", ["p"]), (1, 2, "", "y", ["q", "p"]), (1, 3, None, None, None)], "id int, at int, name string, gone string, tags array<string>")
     got = reconcile.merge_snapshots(df, ["id"], ["at"], {"gone": reconcile.FORCE}).first()
