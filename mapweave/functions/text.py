@@ -67,7 +67,8 @@ def extract_all(c: Column, pattern: str, groups: int, make) -> Column:
 
 
 def base64_encode(c: Column) -> Column:
-    return F.base64(F.coalesce(c, F.lit("")).cast("binary"))
+    """On one line; Spark's own may break it after every 76 characters."""
+    return F.replace(F.base64(F.coalesce(c, F.lit("")).cast("binary")), F.lit("\r\n"), F.lit(""))
 
 
 def base64_decode(c: Column) -> Column:

@@ -262,6 +262,12 @@ def base64_functions(spark, sf_dir):
     return t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.base64_encode(s).alias("b"), X.base64_decode(X.base64_encode(s)).alias("back"))
 
 
+@query("SELECT doc_id AS id, to_base64(encode(text)) AS b, text AS back FROM documents")
+def base64_texts(spark, sf_dir):
+    b = X.base64_encode(F.col("text"))
+    return t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), b.alias("b"), X.base64_decode(b).alias("back"))
+
+
 @query("SELECT event_id AS id, (props->>'$.k')::BIGINT AS k, '{\"k\":' || (props->>'$.k') || '}' AS again FROM events")
 def json_path(spark, sf_dir):
     k = X.json_path(F.col("props"), "k", to="bigint")

@@ -1,5 +1,6 @@
 """Mapping functions and operators on edge values, and every query against its SQL."""
 
+import base64
 import os
 import random
 
@@ -53,6 +54,15 @@ def test_text(spark):
     assert one(spark, X.base64_decode(X.base64_encode(F.lit("é"))), X.base64_encode(null()), X.json_path(F.lit('{"a":{"b":1}}'), "a", "b", to="int"), X.json_path(F.lit("no json"), "a")) == ("é", "", 1, None)
 
 
+def test_base64_of_whole_texts(spark):
+    texts = ["é" * 57, "two\nlines\r\n" * 40, "x" * 76, "x" * 77, "long ünd \U0001f600 " * 5000, ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    rows = df.orderBy("i").select(X.base64_encode(F.col("s")), X.base64_decode(X.base64_encode(F.col("s")))).collect()
+    assert [tuple(r) for r in rows] == [(base64.b64encode(s.encode()).decode(), s) for s in texts]
+    whole = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r["id"]: r["back"] for r in mapping.QUERIES["base64_texts"](spark, SF).collect()} == whole
+
+
 def test_arrays(spark):
     nums = F.array(*[F.lit(x) for x in (3, None, 1, 3)])
     key = lambda x: x
