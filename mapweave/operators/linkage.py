@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, settle
+
 AND, OR = "AND", "OR"
 
 
@@ -120,39 +121,31 @@ def _crossed(combined: Column, more: Column) -> Column:
     return F.flatten(F.transform(combined, lambda parts: F.transform(more, lambda s: F.array_append(parts, s))))
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Written to the cluster's shared folder and read again, where there is one; else checkpointed in the session's own."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/mapweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def link_records(df: DataFrame, key: str, values: str, most_rounds: int = 50) -> DataFrame:
     """(key, group): records that share a property value, directly or through others; group is the smallest key.
 
-    Each value links its records to their smallest one, so a value that many records share
-    makes as many links as it has records. Labels then move to the least of their neighbours
-    and jump to their label's label until nothing changes.
+    Keys of any ordered type. Each value links its records to their smallest one, so a value
+    that many records share makes as many links as it has records. Labels then move to the
+    least of their neighbours and jump to their label's label until none moves; each round is a
+    written table. Records with a null key link with nothing and are left out.
     """
-    owned = df.select(F.col(key).alias("id"), F.explode(values).alias("v")).distinct()
+    named = df.where(F.col(key).isNotNull())
+    owned = settle(named.select(F.col(key).alias("id"), F.explode(values).alias("v")).distinct())
     least = owned.groupBy("v").agg(F.min("id").alias("m"))
-    edges = _settle(owned.join(least, "v").select("id", "m").where("id <> m").distinct())
+    edges = settle(owned.join(least, "v").select("id", "m").where("id <> m").distinct())
     both = edges.unionByName(edges.select(F.col("m").alias("id"), F.col("id").alias("m")))
-    labels = df.select(F.col(key).alias("id"), F.col(key).alias("g")).distinct()
-    was = None
+    labels = settle(named.select(F.col(key).alias("id"), F.col(key).alias("g")).distinct())
     for _ in range(most_rounds):
         near = both.join(labels.withColumnsRenamed({"id": "m", "g": "h"}), "m").groupBy("id").agg(F.min("h").alias("h"))
-        moved = labels.join(near, "id", "left").select("id", F.least("g", "h").alias("g"))
+        moved = settle(labels.join(near, "id", "left").select("id", F.least("g", "h").alias("g"), F.col("g").alias("was")))
         jump = moved.select(F.col("id").alias("g"), F.col("g").alias("j"))
-        labels = _settle(moved.join(jump, "g", "left").select("id", F.coalesce("j", "g").alias("g")))
-        now = labels.agg(F.sum("g").alias("s")).first()["s"]
-        if now == was:
+        found = settle(moved.join(jump, "g", "left").select("id", F.coalesce("j", "g").alias("g"), "was"))
+        discard(labels)
+        discard(moved)
+        labels = found.select("id", "g")
+        labels._settled_at = found._settled_at
+        if found.where("g <> was").isEmpty():
             break
-        was = now
     else:
         raise RuntimeError(f"groups are not settled after {most_rounds} rounds")
     return labels.select(F.col("id").alias(key), F.col("g").alias("group"))
