@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, settle
+from .skew import join_by_key
 
 AND, OR = "AND", "OR"
 
@@ -131,17 +132,19 @@ def link_records(df: DataFrame, key: str, values: str, most_rounds: int = 50) ->
     """
     named = df.where(F.col(key).isNotNull())
     owned = settle(named.select(F.col(key).alias("id"), F.explode(values).alias("v")).distinct())
-    least = owned.groupBy("v").agg(F.min("id").alias("m"))
-    edges = settle(owned.join(least, "v").select("id", "m").where("id <> m").distinct())
+    least = settle(owned.groupBy("v").agg(F.min("id").alias("m"), F.count("*").alias("n")))
+    edges = settle(join_by_key(owned, least, ["v"], "n").select("id", "m").where("id <> m").distinct())
     both = edges.unionByName(edges.select(F.col("m").alias("id"), F.col("id").alias("m")))
+    ends = settle(both.groupBy("m").agg(F.count("*").alias("n")))
     labels = settle(named.select(F.col(key).alias("id"), F.col(key).alias("g")).distinct())
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnsRenamed({"id": "m", "g": "h"}), "m").groupBy("id").agg(F.min("h").alias("h"))
+        said = settle(ends.join(labels.withColumnsRenamed({"id": "m", "g": "h"}), "m"))
+        near = join_by_key(both, said, ["m"], "n").groupBy("id").agg(F.min("h").alias("h"))
         moved = settle(labels.join(near, "id", "left").select("id", F.least("g", "h").alias("g"), F.col("g").alias("was")))
         jump = moved.select(F.col("id").alias("g"), F.col("g").alias("j"))
         found = settle(moved.join(jump, "g", "left").select("id", F.coalesce("j", "g").alias("g"), "was"))
-        discard(labels)
-        discard(moved)
+        for done in (labels, said, moved):
+            discard(done)
         labels = found.select("id", "g")
         labels._settled_at = found._settled_at
         if found.where("g <> was").isEmpty():

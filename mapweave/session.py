@@ -59,12 +59,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _at_end(folder: str) -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        try:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
             _delete(spark, folder)
-        except Exception:  # the JVM may have ended before
-            return
+    except Exception:  # the JVM may have ended before
+        return
 
 
 def settle(df: DataFrame) -> DataFrame:
