@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.skew import join_by_key  # noqa: F401
+from ..session import discard, settle
+
 #: Buckets that each group is dealt into before its rows are numbered.
 RANK_BUCKETS = 1024
 #: Rows of a few numbers each that are broadcast at most (some 8 MB).
@@ -29,28 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; on a local master without one, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="mapweave-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mapweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(docs: DataFrame, by: str, out: str) -> DataFrame:
     """``docs`` as a written table with ``out``, a long of its own for each row, in the order of ``by``, nulls last.
 
@@ -60,47 +36,65 @@ def numbered(docs: DataFrame, by: str, out: str) -> DataFrame:
     return settle(at.orderBy(F.col(f"`{by}`").asc_nulls_last(), "__at").drop("__at").withColumn(out, F.monotonically_increasing_id()))
 
 
-def join_by_size(large: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Joins a written table ``small``: broadcast if its rows are counted to be few, else by shuffling both."""
-    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+def join_by_size(large: DataFrame, small: DataFrame, on, how: str = "inner", cells: Column | None = None) -> DataFrame:
+    """Joins a written table ``small``: broadcast if it is counted to be small, else by shuffling both.
+
+    ``cells``: numbers that a row of ``small`` holds beside its first few, where that is not constant.
+    """
+    held = small.agg(F.sum(F.lit(1).cast("long") if cells is None else 1 + cells.cast("long")).alias("n")).first()["n"] or 0
+    return large.join(F.broadcast(small) if held <= BROADCAST_ROWS else small, on, how)
+
+
+def row_salt(df: DataFrame) -> Column:
+    """A hash of all columns of a row, so that rows that share a key are dealt apart if they differ at all."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def gapless_rank(df: DataFrame, by: list[str], order: list[Column], salt: Column, out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+def gapless_rank(df: DataFrame, by: list[str], order: list[Column], salt: Column, out: str, buckets: int = RANK_BUCKETS, about: DataFrame | None = None) -> DataFrame:
     """``df`` with ``out``: each row's number in its group ``by``, 0, 1, ... without gaps.
 
-    A group is dealt into ``buckets`` buckets by ``salt`` (a hash of the row's key), so that
+    A group is dealt into ``buckets`` buckets by ``salt`` (a hash of the row), so that
     no task orders a whole group; bucket sizes are counted and added up in bucket order. Rows
     of a group stand by bucket and then by ``order``. Null group values form a group.
+    ``about``: a table of one row a group, whose other columns follow; it meets the buckets, not the rows.
     """
     keys = [f"__g{i}" for i in range(len(by))]
     dealt = df.withColumn("__bucket", F.pmod(salt, F.lit(buckets)).cast("int")).withColumns({k: F.col(f"`{c}`") for k, c in zip(keys, by)})
     sizes = dealt.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*[F.col(k).alias(f"{k}s") for k in keys], F.col("__bucket").alias("__bs"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    more = [] if about is None else [c for c in about.columns if c not in by]
+    if about is not None:
+        same = F.lit(True)
+        for k, c in zip(keys, by):
+            same = same & F.col(f"{k}s").eqNullSafe(F.col(f"{k}a"))
+        starts = starts.join(about.select(*[F.col(c).alias(f"{k}a") for k, c in zip(keys, by)], *more), same).drop(*[f"{k}a" for k in keys])
     within = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    numbered = dealt.withColumn("__at", F.row_number().over(within) - 1)
+    ranked = dealt.withColumn("__at", F.row_number().over(within) - 1)
     on = F.col("__bucket") == F.col("__bs")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"{k}s"))
-    return numbered.join(starts, on).withColumn(out, (F.col("__start") + F.col("__at")).cast("long")).select(*df.columns, out)
+    return ranked.join(starts, on).withColumn(out, (F.col("__start") + F.col("__at")).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], out, *more)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable by the edges, for every id on an edge.
 
     Alternates large-star and small-star contraction; each round is a table in the shared
-    folder. Minima are aggregated map-side and joined back, so a node with very many edges
-    is split by the skew handling of the join.
+    folder, and the one before it goes. Minima are aggregated map-side and joined back with
+    nodes of very many edges broadcast.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    now = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = settle(join_by_key(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.withColumnRenamed("m", "v"))
-        now = settle(small.distinct())
+        before, now = now, settle(small.distinct())
+        for done in (before, least, large):
+            discard(done)
         was, state = state, now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == was:
             break

@@ -337,3 +337,41 @@ def test_patterns_place_every_length():
         found = packing.patterns(histogram, 64)
         assert Counter({n: sum(p.count(n) * c for p, c in found) for n in histogram}) == Counter(histogram)
         assert all(sum(p) <= 64 for p, _ in found)
+
+
+# Mixing without caps
+
+
+def best_sum(lengths, counts, budget):
+    sums = {0}
+    for n, c in zip(lengths, counts):
+        sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= budget}
+    return max(sums)
+
+
+def test_fit_reaches_the_best_sum():
+    assert mixing.fit([70000, 70001], [1, 1], 70001) == (0, [0, 1])
+    assert mixing.fit([5, 100000], [3, 1], 100003) == (0, [0, 1])
+    assert mixing.fit([3000, 70000], [1, 1], 72000) == (0, [0, 1])
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        most = int(rng.choice([50, 3000, 200_000]))
+        lengths = sorted({int(n) for n in rng.integers(1, most, 4)})
+        counts = [int(c) for c in rng.integers(1, 4, len(lengths))]
+        total = sum(n * c for n, c in zip(lengths, counts))
+        target = float(rng.uniform(0, 2.2) * total)
+        copies, extra = mixing.fit(lengths, counts, target)
+        rest = int(target - copies * total)
+        assert copies == int(target // total) and all(0 <= e <= c for e, c in zip(extra, counts))
+        assert sum(n * e for n, e in zip(lengths, extra)) == best_sum(lengths, counts, rest), (lengths, counts, target)
+
+
+def test_source_targets_of_tables(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40):
+        sizes = {f"s{int(i)}": int(x) for i, x in zip(rng.permutation(n), rng.integers(0, 10_000, n) ** 2)}
+        sizes |= {None: 77, "": 5}
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = mixing.targets(sizes)
+        assert len(got) == len(want) and all(abs(r["target"] - want[r["source"]]) <= 1e-6 * max(1, want[r["source"]]) for r in got)
+    assert mixing.source_targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
