@@ -1,15 +1,16 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is the sequence of its words between ASCII white space; lines without words are no
-lines. Two lines are near if their words differ by at most one edit (a word replaced, put in
-or left out) and each has ``LEAST_WORDS`` words or more; shorter lines only if they are equal.
-A line goes if an earlier one, by document and line number, is near.
-
-Of each distinct line every variant with one word deleted becomes a hashed key, beside the key
-of the whole line; lines that share a variant with the same place deleted, or whose variant is
-another's whole, are near, which is then verified on their words. One edit leaves two thirds
-of a line as they are: its first two, its last two, or its first and last. Lines that share
-none of these with another distinct line can't be near one and emit no variants.
+lines. The edit bound is one: lines of ``LEAST_WORDS`` words or more are near if one word is
+replaced, put in or left out; shorter lines, joined by single spaces to ``LEAST_CHARS``
+characters or more, if one character is; all others only if they are equal. A line goes if an
+earlier one, by document and line number, is near.
+
+Of each distinct line every variant with one unit (word or character) deleted becomes a hashed
+key, beside the key of the whole line; lines that share a variant with the same place deleted,
+or whose variant is another's whole, are near, which is then verified. One edit leaves two
+thirds of a line as they are: its first two, its last two, or its first and last. Lines that
+share none of these with another distinct line can't be near one and emit no variants.
 """
 
 from __future__ import annotations
@@ -20,14 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import MIX_1, U64, WordHashes, join_by_size, mixed, settle, table
+from .common import MIX_1, U64, WordHashes, join_by_key, join_by_size, mixed, numbered, settle, table, unused
 
-LEAST_WORDS = 8
+LEAST_WORDS, LEAST_CHARS = 8, 16
 WHOLE = -1
 
-#: Base of the rolling hash of word sequences, odd, and its inverse modulo 2**64.
+#: Base of the rolling hash of unit sequences, odd, and its inverse modulo 2**64.
 BASE = U64(0xD6E8FEB86659FD93)
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 
@@ -37,8 +37,8 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     return np.concatenate([np.ones(1, U64), np.cumprod(np.full(max(n - 1, 0), base))])[:n]
 
 
-def near(a: list[bytes], b: list[bytes]) -> bool:
-    """At most one word edit apart."""
+def near(a, b) -> bool:
+    """At most one edit apart, as sequences of words or as texts."""
     if abs(len(a) - len(b)) > 1:
         return False
     short, long_ = sorted((a, b), key=len)
@@ -46,15 +46,55 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
     return short[i + (len(a) == len(b)) :] == long_[i + 1 :]
 
 
+def near_lines(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether two lines, as words, are within the edit bound."""
+    if len(a) >= LEAST_WORDS and len(b) >= LEAST_WORDS:
+        return near(a, b)
+    if len(a) < LEAST_WORDS and len(b) < LEAST_WORDS:
+        x, y = (b" ".join(w).decode() for w in (a, b))
+        return a == b or min(len(x), len(y)) >= LEAST_CHARS and near(x, y)
+    return False
+
+
 def _lines(text: str | None) -> list[list[bytes]]:
     return [x.split() for x in (text or "").encode().split(b"\n")]
 
 
+def _points(line: bytes) -> np.ndarray:
+    """The characters of a line as hashes."""
+    return mixed(np.frombuffer(line.decode().encode("utf-32-le"), "<u4").astype(U64) * MIX_1)
+
+
+class _Runs:
+    """Hashes of runs in a long sequence of unit hashes."""
+
+    def __init__(self, units: np.ndarray):
+        place = powers(len(units) + 1, BASE)
+        self.back = powers(len(units) + 1, INVERSE)
+        self.total = np.concatenate([np.zeros(1, U64), np.cumsum(units * place[:-1])])
+
+    def of(self, i: np.ndarray, j: np.ndarray, salt) -> np.ndarray:
+        return mixed((self.total[j] - self.total[i]) * self.back[i] + np.asarray(salt).astype(U64) * MIX_1)
+
+
+def _parts(runs: _Runs, n: np.ndarray, kind: int) -> np.ndarray:
+    """(lines, 6) keys of two thirds of each line, as the shorter line of a pair and as the longer one."""
+    end = np.cumsum(n)
+    begin, out = end - n, []
+    for c in (n, n - 1):  # units of the shorter line of the pair
+        third = np.maximum(c, 0) // 3
+        rest = np.maximum(c, 0) - third
+        salt = 6 * c + 3 * kind
+        ends = runs.of(begin, begin + third, salt) * MIX_1 + runs.of(end - third, end, salt)
+        out += [runs.of(begin, begin + rest, salt + 1), runs.of(end - rest, end, salt + 2), mixed(ends)]
+    return np.stack(out, 1).view(np.int64) if len(n) else np.empty((0, 6), np.int64)
+
+
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(doc, line, n, h, parts) of every line of ``docs`` (doc, text) that has words.
+    """(doc, line, n, h, again, parts) of every line of ``docs`` (doc, text) that has words.
 
-    h: hash of the line; parts: keys of two of its thirds, as the shorter line of a pair and as
-    the longer one; none of short lines.
+    h: hash of the line; again: an equal line stands before it in the document; parts: keys of
+    two of its thirds, none of lines that only an equal one is near to.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +102,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                doc, line, n, words = [], [], [], []
+                doc, line, n, words, points = [], [], [], [], []
                 for d, body in zip(part.column(0).to_pylist(), part.column(1)):
                     for i, w in enumerate(_lines(body.as_py())):
                         if w:
@@ -70,34 +110,31 @@ def line_keys(docs: DataFrame) -> DataFrame:
                             line.append(i)
                             n.append(len(w))
                             words += w
-                n = np.array(n, np.int64)
+                            if len(w) < LEAST_WORDS:
+                                points.append(_points(b" ".join(w)))
+                n, doc = np.array(n, np.int64), np.array(doc, np.int64)
                 end = np.cumsum(n)
-                begin = end - n
-                place = powers(len(words) + 1, BASE)
-                back = powers(len(words) + 1, INVERSE)
-                total = np.concatenate([np.zeros(1, U64), np.cumsum(hashes.of(words) * place[:-1])])
-
-                def run_hash(i: np.ndarray, j: np.ndarray, salt) -> np.ndarray:
-                    return mixed((total[j] - total[i]) * back[i] + np.asarray(salt).astype(U64) * MIX_1)
-
-                parts = []
-                for c in (n, n - 1):  # words of the shorter line of the pair
-                    third = np.maximum(c, 0) // 3
-                    rest = np.maximum(c, 0) - third
-                    ends = run_hash(begin, begin + third, 3 * c) * MIX_1 + run_hash(end - third, end, 3 * c)
-                    parts += [run_hash(begin, begin + rest, 3 * c + 1), run_hash(end - rest, end, 3 * c + 2), mixed(ends)]
-                keys = np.stack(parts, 1).view(np.int64) if len(n) else np.empty((0, 6), np.int64)
-                short = n < LEAST_WORDS
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(short, 0, 6))]), pa.int32()), pa.array(keys[~short].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(n.astype(np.int32)), pa.array(run_hash(begin, end, n).view(np.int64)), lists], names=["doc", "line", "n", "h", "parts"])
-
-    return docs.mapInArrow(run, "doc long, line int, n int, h long, parts array<long>")
+                by_words = _Runs(hashes.of(words))
+                h = by_words.of(end - n, end, n).view(np.int64)
+                keys = _parts(by_words, n, 0)
+                short, size = n < LEAST_WORDS, np.array([len(p) for p in points], np.int64)
+                keys[short] = _parts(_Runs(np.concatenate(points) if points else np.empty(0, U64)), size, 1)
+                alone = np.zeros(len(n), bool)
+                alone[short] = size < LEAST_CHARS
+                again = np.ones(len(n), bool)
+                if len(n):
+                    again[np.unique(np.stack([doc, h, n], 1), axis=0, return_index=True)[1]] = False
+                none = alone | again
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(none, 0, 6))]), pa.int32()), pa.array(keys[~none].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line, pa.int32()), pa.array(n.astype(np.int32)), pa.array(h), pa.array(again), lists], names=["doc", "line", "n", "h", "again", "parts"])
+
+    return docs.mapInArrow(run, "doc long, line int, n int, h long, again boolean, parts array<long>")
 
 
 def neighbourhoods(docs: DataFrame) -> DataFrame:
     """(doc, line, words, keys) of the lines in ``wanted``; docs: (doc, text, wanted array<int>).
 
-    keys: hash of each variant with one word deleted, by its place, then of the whole.
+    keys: hash of each variant with one unit deleted, by its place, then of the whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +147,17 @@ def neighbourhoods(docs: DataFrame) -> DataFrame:
                     split = _lines(body.as_py())
                     for i in wanted:
                         w = split[i]
-                        place = powers(len(w) + 1, BASE)
-                        total = np.concatenate([np.zeros(1, U64), np.cumsum(hashes.of(w) * place[:-1])])
-                        # what follows the deleted word moves one place down
-                        sizes = np.array([len(w) - 1, len(w)], U64) * MIX_1
+                        whole, kind = b" ".join(w), int(len(w) < LEAST_WORDS)
+                        units = _points(whole) if kind else hashes.of(w)
+                        place = powers(len(units) + 1, BASE)
+                        total = np.concatenate([np.zeros(1, U64), np.cumsum(units * place[:-1])])
+                        # what follows the deleted unit moves one place down
+                        sizes = np.array([2 * len(units) - 2 + kind, 2 * len(units) + kind], U64) * MIX_1
                         gone = mixed(total[:-1] + (total[-1] - total[1:]) * INVERSE + sizes[0])
                         key = np.concatenate([gone, mixed(total[-1:] + sizes[1])]).view(np.int64)
                         out[0].append(d)
                         out[1].append(i)
-                        out[2].append(b" ".join(w))
+                        out[2].append(whole)
                         out[3].append(key)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], names=["doc", "line", "words", "keys"])
 
@@ -126,66 +165,93 @@ def neighbourhoods(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (doc, line, words, other words) whose words are near."""
+    """(doc, line, good) of ``pairs`` (doc, line, words, other words): whether the words are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = pa.array([near(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc", "line"]).filter(good)
+            good = pa.array([near_lines(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), good], names=["doc", "line", "good"])
 
-    return pairs.mapInArrow(run, "doc long, line int")
+    return pairs.mapInArrow(run, "doc long, line int, good boolean")
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, lines): the numbers of the lines that go, for each document that loses any.
-
-    Null and empty texts have no lines; ties in a document's lines are kept by line number.
-    Rows with equal or null keys are one document to this operator: give rows their own keys.
-    """
-    body = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    rows = settle(line_keys(body))
-    first = rows.groupBy("h", "n").agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("c"))
-    copies = rows.join(first.where("c > 1"), ["h", "n"]).where("doc > f.doc or (doc = f.doc and line > f.line)").select("doc", "line")
+def _with_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc, line, words, other) of ``pairs`` (here, f); a line that many others meet is broadcast."""
+    met = settle(pairs.select("here.doc", "here.line", F.col("f.doc").alias("d2"), F.col("f.line").alias("l2")).join(words, ["doc", "line"]))
+    asked = met.groupBy("d2", "l2").agg(F.count("*").alias("n"))
+    other = settle(asked.join(words.select(F.col("doc").alias("d2"), F.col("line").alias("l2"), F.col("words").alias("other")), ["d2", "l2"]))
+    return join_by_key(met, other, ["d2", "l2"], "n").select("doc", "line", "words", "other")
 
-    firsts = first.select(F.col("f.doc").alias("doc"), F.col("f.line").alias("line"))
-    parts = rows.where(F.col("n") >= LEAST_WORDS).join(firsts, ["doc", "line"], "left_semi").select("doc", "line", F.explode(F.array_distinct("parts")).alias("part"))
-    by_part = Window.partitionBy("part").orderBy("doc", "line")
-    shared = parts.withColumn("shared", F.lag("line").over(by_part).isNotNull() | F.lead("line").over(by_part).isNotNull()).where("shared")
-    wanted = settle(shared.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
-    lines = settle(neighbourhoods(join_by_size(body, wanted, "doc").select("doc", "text", "wanted")))
 
+def _near_ones(lines: DataFrame) -> DataFrame:
+    """(doc, line) of the written ``lines`` (doc, line, words, keys) to which an earlier one is near."""
     keys = lines.select("doc", "line", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "key"))
     keys = keys.select("key", F.when(F.col("at") == F.col("n") - 1, WHOLE).otherwise(F.col("at")).alias("at"), F.struct("doc", "line").alias("here"))
-    same, any_ = Window.partitionBy("key", "at"), Window.partitionBy("key")
-    whole, cut = (F.min(F.when(c, F.col("here"))).over(any_) for c in (F.col("at") == WHOLE, F.col("at") != WHOLE))
-    met = keys.select("here", F.when(F.col("at") == WHOLE, cut).otherwise(F.least(F.min("here").over(same), whole)).alias("f"))
-    pairs = met.where("f.doc < here.doc or (f.doc = here.doc and f.line < here.line)").groupBy("here").agg(F.min("f").alias("f")).select("here.doc", "here.line", "f")
+    shared = settle(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = settle(join_by_key(keys, shared, ["key"], "n").drop("n"))
+    whole, cut = (F.min(F.when(c, F.col("here"))) for c in (F.col("at") == WHOLE, F.col("at") != WHOLE))
+    by_key = settle(rows.groupBy("key").agg(whole.alias("whole"), cut.alias("cut"), F.count("*").alias("n")))
+    by_place = settle(rows.groupBy("key", "at").agg(F.min("here").alias("same"), F.count("*").alias("n")))
+    met = join_by_key(join_by_key(rows, by_key, ["key"], "n").drop("n"), by_place, ["key", "at"], "n")
+    met = met.select("here", F.when(F.col("at") == WHOLE, F.col("cut")).otherwise(F.least("same", "whole")).alias("f"))
+    pairs = met.where("f < here").groupBy("here").agg(F.min("f").alias("f"))
     words = lines.select("doc", "line", "words")
-    met = pairs.join(words, ["doc", "line"]).select("doc", "line", "words", F.col("f.doc").alias("d2"), F.col("f.line").alias("l2"))
-    met = met.join(words.select(F.col("doc").alias("d2"), F.col("line").alias("l2"), F.col("words").alias("other")), ["d2", "l2"]).select("doc", "line", "words", "other")
-    return gone_lines(copies, _verified(met))
+    checked = settle(_verified(_with_words(pairs, words)))
+    found = checked.where("good").select("doc", "line")
+    if checked.where("not good").isEmpty():
+        return found
+    # keys of lines that aren't near were equal by chance: all other earlier lines of their keys are looked at
+    again = checked.where("not good").select("doc", "line")
+    mine = rows.select("key", "at", "here", "here.doc", "here.line").join(again, ["doc", "line"]).select("key", "at", "here")
+    roles = (F.col("at") == F.col("at2")) & (F.col("at") != WHOLE) | (F.col("at") == WHOLE) != (F.col("at2") == WHOLE)
+    others = rows.select("key", F.col("at").alias("at2"), F.col("here").alias("f"))
+    more = mine.join(others, "key").where(roles & (F.col("f") < F.col("here"))).select("here", "f").distinct()
+    return found.unionByName(_verified(_with_words(more, words)).where("good").select("doc", "line"))
 
 
-def gone_lines(copies: DataFrame, nears: DataFrame) -> DataFrame:
-    both = copies.unionByName(nears).distinct()
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, lines): the numbers of the lines that go, for each document that loses any.
+
+    ``key``: a long of its own for each row, by which documents are earlier or later (``dedup``
+    makes one). Null and empty texts have no lines; ties in a document's lines are kept by line
+    number.
+    """
+    body = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    rows = settle(line_keys(body))
+    new = rows.where(~F.col("again"))
+    first = settle(new.groupBy("h", "n").agg(F.min("doc").alias("d"), F.count("*").alias("c")))
+    placed = settle(join_by_key(new, first, ["h", "n"], "c").select("doc", "line", (F.col("doc") > F.col("d")).alias("copy"), F.when(F.col("doc") == F.col("d"), F.col("parts")).alias("parts")))
+    copies = placed.where("copy").select("doc", "line").unionByName(rows.where("again").select("doc", "line"))
+
+    parts = placed.where("size(parts) > 0").select("doc", "line", F.explode(F.array_distinct("parts")).alias("part"))
+    shared = settle(parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"))
+    wanted = settle(join_by_key(parts, shared, ["part"], "n").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
+    lines = settle(neighbourhoods(join_by_size(body, wanted, "doc", cells=F.size("wanted")).select("doc", "text", "wanted")))
+    both = copies.unionByName(_near_ones(lines)).distinct()
     return both.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` less its repeated lines, and ``n_lines_gone``.
+    """``docs`` with ``text`` less its repeated lines, and ``n_lines_gone`` (replaced if there is one).
 
-    A document that loses all its lines stays, with an empty text; a null text stays null.
+    Documents are earlier by ``key``, nulls last; rows with equal or null keys are documents of
+    their own, in the order in which they are read. A document that loses all its lines stays,
+    with an empty text; a null text stays null; an empty table gives no rows. Other columns
+    stay, whatever their names.
     """
-    gone = settle(repeated(docs, key, text).select(F.col("doc").alias("__doc"), F.col("lines").alias("__lines")))
-    met = join_by_size(docs.drop("n_lines_gone"), gone, F.col(f"`{key}`") == F.col("__doc"), "left")
+    kept = [c for c in docs.columns if c != "n_lines_gone"]
+    row, out = unused(docs, "__row"), unused(docs, "__lines")
+    own = numbered(docs.select(*[F.col(f"`{c}`") for c in kept]), key, row)
+    gone = settle(repeated(own, row, text).select(F.col("doc").alias(row), F.col("lines").alias(out)))
+    met = join_by_size(own, gone, row, "left", cells=F.size(out))
     split = F.split(F.col(f"`{text}`"), "\n", -1)
-    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("__lines", i), x)), lambda x: x.isNotNull()), "\n")
-    new = F.when(F.col("__lines").isNull(), F.col(f"`{text}`")).otherwise(left)
-    return met.withColumn(text, new).withColumn("n_lines_gone", F.coalesce(F.size("__lines"), F.lit(0))).drop("__doc", "__lines")
+    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(out, i), x)), lambda x: x.isNotNull()), "\n")
+    new = F.when(F.col(out).isNull(), F.col(f"`{text}`")).otherwise(left).alias(text)
+    return met.select(*[new if c == text else F.col(f"`{c}`") for c in kept], F.when(F.col(out).isNull(), 0).otherwise(F.size(out)).alias("n_lines_gone"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return done.select("doc_id", F.col("n_lines_gone").cast("long").alias("n_lines_gone"), kept.cast("long").alias("n_lines_kept"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return done.select("doc_id", F.col("n_lines_gone").cast("long").alias("n_lines_gone"), kept.cast("long").alias("n_lines_kept"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))

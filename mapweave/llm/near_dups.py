@@ -5,8 +5,9 @@ candidate buckets; the low bits of the minima, packed in bit planes, give an est
 similarity by bit counts, corrected for chance agreement; links are confirmed on the full sets.
 
 Equal sets are one class from the start. A bucket first offers its members its smallest and
-its largest one only, and each text is confirmed with the likeliest earlier one. Where a bucket still spans several components after that, its members of
-different components are compared in blocks, which give back links only, not their candidate
+its largest one only, and each text is confirmed with the likeliest earlier one. Where a bucket
+still spans several components after that, its members of different components are compared in
+blocks, bounded by their shingles and members, which give back links only, not their candidate
 pairs. Components are exact on the confirmed links.
 """
 
@@ -20,14 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_1, U64, WordHashes, components, join_by_size, mixed, settle, shingles, table
+from .common import MIX_1, U64, WordHashes, components, join_by_key, join_by_size, mixed, settle, shingles, table
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 MINIMA, ROWS, BITS = 128, 4, 4
 #: Estimates below this are not confirmed: five standard deviations under the threshold.
 ESTIMATE = 0.55
-#: Members of a bucket with several components that are compared in one group.
-BLOCK = 2000
+#: Members of a bucket with several components, and shingles in their sets, that are compared in one group, about.
+BLOCK, BLOCK_SHINGLES = 2000, 1 << 21
 
 _rng = np.random.Generator(np.random.PCG64(11))
 MULTIPLY = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * U64(2) + U64(1)
@@ -78,14 +79,14 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, f1, f2, sig, bands); f1, f2: fingerprint of the set."""
-    schema = "id long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>"
+    """(id, th, n_shingles, f1, f2, sig, bands); f1, f2: fingerprint of the set, th: hash of the text."""
+    schema = "id long, th long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             n, prints, sigs, keys = [], [], [], []
-            for body in batch.column(1):
+            for body in batch.column(2):
                 values = shingles(hashes.of(words_of(body.as_py())), SHINGLE)
                 n.append(len(values))
                 prints.append(np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), np.int64))
@@ -94,9 +95,14 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 keys.append(bands(least) if len(values) else None)
             f = np.array(prints, np.int64).reshape(-1, 2)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sigs, longs), pa.array(keys, longs)], names=["id", "n_shingles", "f1", "f2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sigs, longs), pa.array(keys, longs)], names=["id", "th", "n_shingles", "f1", "f2", "sig", "bands"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    return texts_of(docs, key, text).mapInArrow(run, schema)
+
+
+def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, th, text)."""
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -114,24 +120,33 @@ def with_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", set array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of the written table ``pairs`` (a, b) whose full sets reach the threshold.
+def sets_of(classes: DataFrame, wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cls, set) of the classes in the written table ``wanted`` (cls), each from one of its texts.
 
-    The set of a travels once with its pair to the set of b.
+    A class names a text by its key, which may be null or stand on several rows, and its hash;
+    rows that share both are read as one.
     """
-    body = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    left = with_sets(join_by_size(body, pairs.select(F.col("a").alias("id"), "a", "b"), "id").select("a", "b", "text"))
-    right = with_sets(join_by_size(body, settle(pairs.select(F.col("b").alias("id")).distinct()), "id").select("id", "text"))
+    named = settle(classes.join(wanted, "cls").select("cls", F.col("id").alias("c_id"), F.col("th").alias("c_th")))
+    met = join_by_size(texts, named, texts["id"].eqNullSafe(named["c_id"]) & (texts["th"] == named["c_th"]))
+    return with_sets(met.select("cls", "text")).dropDuplicates(["cls"])
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of the written table ``pairs`` (a, b) of classes, one for each a, whose full sets reach the threshold."""
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    sets = settle(sets_of(classes, settle(ends.distinct()), texts))
+    asked = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    other = settle(asked.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b"))
+    met = join_by_key(pairs.join(sets.withColumnRenamed("cls", "a"), "a"), other, ["b"], "n")
     both = F.size(F.array_intersect("set", "sb"))
     union = F.size("set") + F.size("sb") - both
-    met = left.join(right.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return met.where(F.lit(DENOMINATOR) * both >= F.lit(NUMERATOR) * union).select("a", "b").distinct()
+    return met.where(F.lit(DENOMINATOR) * both >= F.lit(NUMERATOR) * union).select("a", "b")
 
 
 def cross_links(rows: DataFrame) -> DataFrame:
     """(a, b): confirmed links between different components of a bucket.
 
-    ``rows``: (band, rep, c, m, sig, bands, set). A bucket of many members is cut into ``m``
+    ``rows``: (band, rep, c, m, sig, bands, set). A bucket of much is cut into ``m``
     parts, and every two parts meet in a group of their own. Two texts are compared in the
     least band that they share; of two components of a group one link is enough.
     """
@@ -175,39 +190,52 @@ def cross_links(rows: DataFrame) -> DataFrame:
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row.
 
-    Null and empty texts have an empty set and link with nothing; equal texts are one class;
-    rows of one key are one document; an empty table gives no rows. Keys must not be null.
+    Null and empty texts have an empty set and link with nothing; equal sets are one class. Rows
+    with equal keys are documents of their own, each in its own component. Rows without a key
+    link as all others; component_id is the smallest key reachable, null if no row there has
+    one; kept is whether key and component_id are the same, both null too. An empty table gives
+    no rows; other columns are left out, whatever their names.
     """
+    texts = texts_of(docs, key, text)
     sketches = settle(sketch(docs, key, text))
-    whole = sketches.where("n_shingles > 0")
-    classes = settle(whole.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("id", "sig", "bands")).alias("r")).select("f1", "f2", "n_shingles", F.col("r.id").alias("rep"), F.col("r.sig").alias("sig"), F.col("r.bands").alias("bands")))
-    members = classes.select("rep", "sig", "bands")
-    banded = members.select("rep", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("n > 1").drop("n")
-    stars = banded.join(ends, "band").select("rep", F.explode(F.array("lo", "hi")).alias("other")).where("rep <> other")
-    stars = stars.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    # classes have ids of their own; the smallest key comes first, null last
+    head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "sig", "bands"))
+    grouped = sketches.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(head.alias("r"), F.count("*").alias("n"))
+    classes = settle(grouped.select(F.monotonically_increasing_id().alias("cls"), "f1", "f2", "n_shingles", "n", "r.id", "r.th", "r.sig", "r.bands"))
+    members = classes.select(F.col("cls").alias("rep"), "sig", "bands", "n_shingles")
+    banded = members.select("rep", "n_shingles", F.explode("bands").alias("band"))
+    ends = settle(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("n > 1"))
+    placed = settle(join_by_key(banded, ends, ["band"], "n"))
+    stars = placed.select("rep", F.explode(F.array("lo", "hi")).alias("other")).where("rep <> other")
+    stars = settle(stars.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct())
     sigs = members.select("rep", "sig")
-    near = stars.join(sigs.withColumnsRenamed({"rep": "a", "sig": "xa"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "xb"}), "b")
-    near = near.withColumn("e", estimate(F.col("xa"), F.col("xb"))).where(F.col("e") >= ESTIMATE)
-    near = near.groupBy(F.col("b").alias("member")).agg(F.max_by("a", F.struct("e", -F.col("a"))).alias("best")).select(F.col("member").alias("a"), F.col("best").alias("b"))
-    links = settle(confirmed(settle(near), docs, key, text))
-    found = components(links)
+    near = stars.join(sigs.withColumnsRenamed({"rep": "a", "sig": "xa"}), "a")
+    asked = settle(stars.groupBy("b").agg(F.count("*").alias("n")).join(sigs.withColumnsRenamed({"rep": "b", "sig": "xb"}), "b"))
+    near = join_by_key(near, asked, ["b"], "n").withColumn("e", estimate(F.col("xa"), F.col("xb"))).where(F.col("e") >= ESTIMATE)
+    near = near.groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b"))
+    links = settle(confirmed(settle(near), classes, texts))
+    found = settle(components(links))
 
     # members by band and component; sets and signatures follow for those left over
-    placed = banded.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    spans = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("m"))
-    rest = settle(placed.join(spans, "band"))
+    named = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
+    named = settle(named)
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    spans = settle(named.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), parts.alias("m")).where("lo <> hi").drop("lo", "hi"))
+    rest = settle(join_by_key(named, spans, ["band"], "n").select("band", "rep", "c", "m"))
     if not rest.isEmpty():
-        reps = settle(rest.select(F.col("rep").alias("id")).distinct())
-        body = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-        sets = with_sets(join_by_size(body, reps, "id").select("id", "text")).dropDuplicates(["id"])
-        about = members.join(sets.withColumnRenamed("id", "rep"), "rep")
-        found = components(links.unionByName(settle(cross_links(rest.join(about, "rep")))))
-
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    full = sketches.select("id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    component = F.coalesce("component", "id")
-    return full.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+        reps = settle(rest.select(F.col("rep").alias("cls")).distinct())
+        about = members.drop("n_shingles").join(sets_of(classes, reps, texts).withColumnRenamed("cls", "rep"), "rep")
+        found = settle(components(links.unionByName(settle(cross_links(rest.join(about, "rep"))))))
+
+    of = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "f1", "f2", "n_shingles", "n", "id", F.coalesce("component", "cls").alias("component"))
+    of = settle(of)
+    tops = of.groupBy("component").agg(F.min("id").alias("top"), F.count("*").alias("members"))
+    known = settle(join_by_key(of, settle(tops), ["component"], "members").select("f1", "f2", "n_shingles", "n", "top"))
+    full = sketches.where("n_shingles > 0").select("id", "n_shingles", "f1", "f2")
+    linked = join_by_key(full, known, ["f1", "f2", "n_shingles"], "n").select("id", "n_shingles", F.col("top").alias("component_id"))
+    alone = sketches.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    both = linked.unionByName(alone)
+    return both.select(F.col("id").alias(key), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

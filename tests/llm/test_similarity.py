@@ -105,7 +105,7 @@ def brute_lines(texts):
             if not w:
                 continue
             for v in seen:
-                if v == w or len(v) >= 8 and len(w) >= 8 and lines.near(v, w):
+                if v == w or lines.near_lines(v, w):
                     gone.add((d, i))
                     break
             seen.append(w)
