@@ -74,10 +74,7 @@ def brute_scan(text):
         hits = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         at += hits
         base |= {label} if hits else set()
-    labels = set(base)
-    for name, t in licenses.template_words(licenses.TEMPLATES).items():
-        if any(len(set(t) & set(find(x))) >= licenses.CONTAINMENT * len(t) - 1e-9 for x in low.split("\n")):
-            labels.add(name)
+    labels = base | brute_blocks(text)[0]
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels))
 
 
@@ -92,16 +89,23 @@ def test_license_scan(spark, texts):
         assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) == brute_scan(r["text"]), r["text"]
         assert 0 <= r["score"] <= 1 and (r["score"] == 1 or not r["base_labels"])
     assert licenses.scan(docs.limit(0)).count() == 0
+    bare = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, templates={}).collect() if r["doc_id"] is not None}
+    assert all(bare[r["doc_id"]] == (r["base_labels"], float(bool(r["base_labels"]))) for r in rows if r["doc_id"] is not None)
 
 
 def brute_blocks(text):
-    """Labels and the largest share of a template, over all lines and all runs of words."""
-    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    """Labels, and the largest share of a template that reaches the threshold, over all runs of words."""
     low = (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER))
-    words, n = find(low), licenses.longest(licenses.TEMPLATES)
-    blocks = [*map(set, map(find, low.split("\n"))), *(set(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))]
-    shares = {k: max(len(set(t) & b) / len(t) for b in blocks) for k, t in licenses.template_words(licenses.TEMPLATES).items()}
-    return {k for k, x in shares.items() if x >= licenses.CONTAINMENT - 1e-9}, max(shares.values())
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    shares = {}
+    for k, t in licenses.template_words(licenses.TEMPLATES).items():
+        n, t = licenses.run_length(licenses.TEMPLATES[k]), set(t)
+        held = len(t & set(words))  # no run holds more
+        if held >= licenses.CONTAINMENT * len(t) - 1e-9:
+            held = max(len(t & set(words[i : i + n])) for i in range(max(1, len(words) - n + 1)))
+            if held >= licenses.CONTAINMENT * len(t) - 1e-9:
+                shares[k] = held / len(t)
+    return set(shares), max(shares.values(), default=0.0)
 
 
 def test_license_headers_wrapped(spark, texts):

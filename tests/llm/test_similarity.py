@@ -214,3 +214,60 @@ def test_components_of_too_few_rounds_fail(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="not settled"):
         components(chain, most_rounds=2)
+
+
+def brute_vectors(vectors):
+    """(links of each, component of each) of (key, vector) rows by double-precision cosines."""
+    valid = [v is not None and len(v) > 0 and None not in v and all(map(np.isfinite, v)) and any(v) for _, v in vectors]
+    edges = []
+    for i, (_, a) in enumerate(vectors):
+        for j in range(i):
+            b = vectors[j][1]
+            if valid[i] and valid[j] and len(a) == len(b):
+                x, y = (np.array(v, float) / np.abs(v).max() for v in (a, b))
+                if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.9:
+                    edges.append((i, j))
+    links = [0] * len(vectors)
+    for i, j in edges:
+        links[i] += 1
+        links[j] += 1
+    return links, union(len(vectors), edges)
+
+
+@pytest.mark.parametrize("block, crowded", [(2000, 256), (7, 12)])
+def test_embedding_components_end_to_end(spark, monkeypatch, block, crowded):
+    """Groups around cosines of 0.9 to 0.95, and one large near-equal group, against brute force."""
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "CROWDED", crowded)
+    rng = np.random.default_rng(block)
+    rows = []
+    for _ in range(40):
+        c = rng.normal(size=64)
+        c /= np.linalg.norm(c)
+        for cos in rng.uniform(0.93, 0.99, rng.integers(1, 6)):
+            o = rng.normal(size=64)
+            o -= (o @ c) * c
+            rows.append(list(map(float, np.float32(cos * c + np.sqrt(1 - cos * cos) * o / np.linalg.norm(o)))))
+    c = rng.normal(size=64)
+    rows += [list(map(float, np.float32(c + 0.02 * rng.normal(size=64)))) for _ in range(90)]
+    rows += [rows[0], rows[0], [1e300] * 64, [2e300] * 64, [1e-300] * 64, [], None, [0.0] * 64]
+    rng.shuffle(rows)
+    vectors = [(int(k), v) for k, v in zip(rng.permutation(len(rows)) * 3, rows)]
+    vectors.sort(key=lambda r: r[0])
+    df = spark.createDataFrame([(k, v, k, 0) for k, v in vectors], "vec_id long, embedding array<double>, id long, component int")
+    got = {r["vec_id"]: r for r in embeddings.link(df).collect()}
+    links, comp = brute_vectors(vectors)
+    assert len(got) == len(vectors)
+    same = sum(got[k]["component_id"] == vectors[comp[i]][0] for i, (k, _) in enumerate(vectors)) / len(vectors)
+    assert sum(r["n_links"] for r in got.values()) >= 0.97 * sum(links) and same >= 0.97, same
+    for i, (k, _) in enumerate(vectors):
+        r = got[k]
+        assert r["n_links"] <= links[i] and r["kept"] == (r["component_id"] == k) and r["component_id"] <= k
+
+
+def test_embedding_keys(spark):
+    """Rows without a key, and rows that share one, are vectors of their own."""
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [-1.0, 0.5]
+    df = spark.createDataFrame([(None, a), (None, a), (3, a), (3, b), (None, b), (None, c), (None, None), (8, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, embeddings.link(df).collect()), key=str)
+    assert got == sorted([(None, 2, 3, False), (None, 2, 3, False), (3, 2, 3, True), (3, 1, 3, True), (None, 1, 3, False), (None, 0, None, True), (None, 0, None, True), (8, 0, 8, True)], key=str)
