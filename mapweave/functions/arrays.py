@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scalars import nullify, truthy
+from .scalars import ANY, ARRAY, STRING, nullify, truthy
 
 Fn = Callable[..., Column]
 
@@ -17,30 +18,37 @@ def where(array: Column, p: Fn) -> Column:
     return F.filter(array, lambda x: truthy(p(x)))
 
 
-def where_fields(m: Column, p: Fn) -> Column:
-    """Entries of a map for which ``p(field, value)`` holds."""
-    return F.map_filter(m, lambda k, v: truthy(p(k, v)))
+def where_fields(m: Column, p: Fn, kind: T.DataType | None = None) -> Column:
+    """Entries of a map, or of a struct (whose type is given) as a map of texts, for which ``p(field, value)`` holds."""
+    return F.map_filter(struct_as_map(m, kind) if isinstance(kind, T.StructType) else m, lambda k, v: truthy(p(k, v)))
 
 
-def wildcard(array: Column, f: Fn) -> Column:
-    """``f`` of every element, nulls dropped."""
-    return F.filter(F.transform(array, lambda x: f(x)), lambda x: x.isNotNull())
+def wildcard(array: Column, f: Fn, kind: str = ANY, flat: bool = False) -> Column:
+    """``f`` of every element, null-ish results dropped; ``flat`` joins results that are arrays, as a second wildcard does."""
+    made = F.filter(F.transform(array, lambda x: f(x)), lambda x: nullify(x, ARRAY if flat else kind).isNotNull())
+    return F.flatten(made) if flat else made
 
 
-def iterate(f: Fn, *arrays: Column) -> Column:
-    """``f`` over one array, or two in step; null results are dropped. Unequal lengths, neither of them 0, are an error."""
+def iterate(f: Fn, *arrays: Column, kind: str = ANY) -> Column:
+    """``f`` over one array or several in step; null-ish results are dropped.
+
+    A null or empty array gives nulls beside the others; arrays of unequal lengths, none of them 0, are an error.
+    """
     if len(arrays) == 1:
-        return wildcard(arrays[0], f)
-    a, b = arrays
-    na, nb = F.coalesce(F.size(a), F.lit(0)), F.coalesce(F.size(b), F.lit(0))
-    bad = (na != nb) & (na != 0) & (nb != 0)
-    zipped = F.zip_with(a, b, lambda x, y: f(x, y))
-    return F.when(bad, F.raise_error(F.lit("arrays iterated together differ in length"))).otherwise(F.filter(zipped, lambda x: x.isNotNull()))
+        return wildcard(arrays[0], f, kind)
+    sizes = F.array(*[F.when(a.isNull(), 0).otherwise(F.size(a)) for a in arrays])
+    some = F.filter(sizes, lambda n: n > 0)
+    zipped = F.arrays_zip(*[F.coalesce(a, F.array()).alias(f"a{i}") for i, a in enumerate(arrays)])
+    made = F.filter(F.transform(zipped, lambda x: f(*[x[f"a{i}"] for i in range(len(arrays))])), lambda x: nullify(x, kind).isNotNull())
+    bad = F.array_max(some) > F.array_min(some)
+    return F.when(bad, F.raise_error(F.lit("arrays iterated together differ in length"))).otherwise(made)
 
 
-def iterate_maps(f: Fn, a: Column, b: Column) -> Column:
-    """``f(field, left, right)`` over the union of the fields of two maps; null results are dropped."""
-    return F.map_filter(F.map_zip_with(a, b, f), lambda k, v: v.isNotNull())
+def iterate_maps(f: Fn, *maps: Column, kind: str = ANY) -> Column:
+    """``f(field, values...)`` over the union of the fields of maps; a null map gives nulls, null-ish results are dropped."""
+    fields_ = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*[F.map_keys(m) for m in maps])))))
+    entries = F.transform(fields_, lambda k: F.struct(k.alias("k"), f(k, *[F.try_element_at(m, k) for m in maps]).alias("v")))
+    return F.map_from_entries(F.filter(entries, lambda e: nullify(e["v"], kind).isNotNull()))
 
 
 def reduce(array: Column, f: Fn, seed: Column | None = None) -> Column:
@@ -58,7 +66,7 @@ def last(array: Column) -> Column:
     return F.try_element_at(array, F.lit(-1))
 
 
-def unique(array: Column, kind: str = "string") -> Column:
+def unique(array: Column, kind: str = ANY) -> Column:
     """First occurrences in order; null-ish elements are equal."""
     return F.array_distinct(F.transform(array, lambda x: nullify(x, kind)))
 
@@ -109,34 +117,55 @@ def sort_and_take_top(array: Column, key: Fn, descending: bool = False) -> Colum
 
 
 def union(existing: Column, inbound: Column) -> Column:
-    """Ordered set union."""
-    return F.array_union(existing, inbound)
+    """Ordered set union; a missing side gives the other."""
+    return F.when(existing.isNull(), F.array_distinct(inbound)).when(inbound.isNull(), F.array_distinct(existing)).otherwise(F.array_union(existing, inbound))
 
 
 def diff(existing: Column, inbound: Column) -> Column:
-    """Ordered set difference."""
-    return F.array_except(existing, inbound)
+    """Ordered set difference; nothing inbound takes nothing away."""
+    return F.when(inbound.isNull(), F.array_distinct(existing)).otherwise(F.array_except(existing, inbound))
 
 
-def union_by_field(existing: Column, inbound: Column, key: Fn) -> Column:
-    """Elements by key: the last value of each key, at the place of its first. A missing side gives the other."""
+def union_by_field(existing: Column, inbound: Column, key: Fn, kind: str = ANY) -> Column:
+    """Elements by key, null-ish keys being equal: the last value of each key, at the place of its first. A missing side gives the other."""
+    by = lambda x: F.struct(nullify(key(x), kind).alias("k"))
     both = F.concat(existing, inbound)
-    keys = F.transform(both, lambda x: key(x))
-    order = F.array_distinct(keys)
-    merged = F.transform(order, lambda k: F.try_element_at(F.filter(both, lambda x: key(x).eqNullSafe(k)), F.lit(-1)))
+    order = F.array_distinct(F.transform(both, by))
+    merged = F.transform(order, lambda k: F.try_element_at(F.filter(both, lambda x: by(x) == k), F.lit(-1)))
     return F.when(existing.isNull(), inbound).when(inbound.isNull(), existing).otherwise(merged)
 
 
-def fields(m: Column) -> Column:
-    return F.array_sort(F.map_keys(m))
+def struct_as_map(c: Column, kind: T.StructType) -> Column:
+    """The set fields of a struct as a map of texts: strings as they are, others as JSON text."""
+
+    def text(f: T.StructField) -> Column:
+        v = c[f.name]
+        if isinstance(f.dataType, T.StringType):
+            return nullify(v, STRING)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            return F.to_json(nullify(v, ARRAY))
+        return F.to_json(v) if isinstance(f.dataType, T.StructType) else v.cast("string")
+
+    entries = F.array(*[F.struct(F.lit(f.name).alias("k"), text(f).alias("v")) for f in kind])
+    return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+
+
+def fields(m: Column, kind: T.DataType | None = None) -> Column:
+    """Sorted names of a map's fields, or of a struct's set fields if its type is given."""
+    return F.array_sort(F.map_keys(struct_as_map(m, kind) if isinstance(kind, T.StructType) else m))
 
 
-def values(m: Column) -> Column:
-    """Values in the order of the sorted fields."""
+def values(m: Column, kind: T.DataType | None = None) -> Column:
+    """Values in the order of the sorted fields; of a struct, whose type is given, as texts."""
+    if isinstance(kind, T.StructType):
+        return values(struct_as_map(m, kind))
     return F.transform(fields(m), lambda k: F.try_element_at(m, k))
 
 
-def unset(m: Column, field: str) -> Column:
+def unset(m: Column, field: str, kind: T.DataType | None = None) -> Column:
+    """A map, or a struct whose type is given, without one field."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[m[f.name].alias(f.name) for f in kind if f.name != field])
     return F.map_filter(m, lambda k, v: k != field)
 
 

@@ -11,11 +11,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRING, ARRAY, MAP, NUMBER, BOOL = "string", "array", "map", "number", "bool"
+STRING, ARRAY, MAP, NUMBER, BOOL, ANY = "string", "array", "map", "number", "bool", "any"
 
 
-def nullify(c: Column, kind: str = STRING) -> Column:
-    """Null-ish values as null. Numbers and booleans are never null-ish and stay plain columns, so filters still push down."""
+def nullify(c: Column, kind: str = ANY) -> Column:
+    """Null-ish values as null. Numbers and booleans are never null-ish and stay plain columns, so filters still push down.
+
+    ``ANY`` takes scalars of any type: text "" is null-ish and all others are kept.
+    """
+    if kind == ANY:
+        return F.when(c.cast("string") != F.lit(""), c)
     if kind == STRING:
         return F.nullif(c, F.lit(""))
     if kind in (ARRAY, MAP):
@@ -23,11 +28,11 @@ def nullify(c: Column, kind: str = STRING) -> Column:
     return c
 
 
-def is_nil(c: Column, kind: str = STRING) -> Column:
+def is_nil(c: Column, kind: str = ANY) -> Column:
     return nullify(c, kind).isNull()
 
 
-def is_not_nil(c: Column, kind: str = STRING) -> Column:
+def is_not_nil(c: Column, kind: str = ANY) -> Column:
     return nullify(c, kind).isNotNull()
 
 
@@ -89,16 +94,16 @@ def floor(c: Column) -> Column:
     return F.floor(num0(c)).cast("double")
 
 
-def eq(first: Column, *more: Column, kind: str = STRING) -> Column:
+def eq(first: Column, *more: Column, kind: str = ANY) -> Column:
     """All equal to the first; null-ish values are equal to each other."""
     return reduce(lambda a, b: a & b, [nullify(first, kind).eqNullSafe(nullify(c, kind)) for c in more], F.lit(True))
 
 
-def neq(a: Column, b: Column, kind: str = STRING) -> Column:
+def neq(a: Column, b: Column, kind: str = ANY) -> Column:
     return ~eq(a, b, kind=kind)
 
 
-def all_distinct(*cs: Column, kind: str = STRING) -> Column:
+def all_distinct(*cs: Column, kind: str = ANY) -> Column:
     """No two of the values are equal."""
     pairs = [neq(a, b, kind) for i, a in enumerate(cs) for b in cs[:i]]
     return reduce(lambda a, b: a & b, pairs, F.lit(True))
@@ -120,8 +125,10 @@ def lte(a: Column, b: Column) -> Column:
     return num0(a) <= num0(b)
 
 
-def to_text(c: Column, kind: str = STRING) -> Column:
-    """Text of a value: null prints as nothing, whole numbers without a fraction."""
+def to_text(c: Column, kind: str = ANY) -> Column:
+    """Text of a value: null prints as nothing, whole numbers without a fraction, whatever their type."""
+    if kind == ANY:
+        return F.when(F.typeof(c).isin("double", "float"), to_text(c.try_cast("double"), NUMBER)).otherwise(to_text(c, STRING))
     if kind == NUMBER:
         d = c.cast("double")
         whole = (d == F.rint(d)) & (F.abs(d) < 9e18)
@@ -134,8 +141,10 @@ def concat_text(*parts: tuple[Column, str] | Column) -> Column:
     return F.concat(*[to_text(*p) if isinstance(p, tuple) else to_text(p) for p in parts])
 
 
-def numbers(start: Column, end: Column) -> Column:
-    """The whole numbers from ``start`` up to but not ``end``, as doubles; empty if there are none."""
+def numbers(start: Column, end: Column | None = None) -> Column:
+    """The whole numbers from ``start`` (0 if only an end is given) up to but not ``end``, as doubles; empty if there are none."""
+    if end is None:
+        start, end = F.lit(0), start
     some = F.sequence(start.cast("bigint"), F.greatest(end.cast("bigint") - 1, start.cast("bigint")))
     return F.when(end > start, some).otherwise(F.array().cast("array<bigint>")).cast("array<double>")
 
@@ -149,7 +158,8 @@ def numbers_either_way(start: Column, end: Column) -> Column:
 
 def parse_num(c: Column, strict: bool = True) -> Column:
     """A number of text; bad text raises unless ``strict`` is off, null-ish text is null."""
-    return nullify(c).cast("double") if strict else F.try_to_number(nullify(c), F.lit("S999999999999D999999")).cast("double")
+    text = F.trim(nullify(c, STRING))
+    return text.cast("double") if strict else text.try_cast("double")
 
 
 def fail(message: str) -> Column:
@@ -162,9 +172,27 @@ def with_default(attempt: Column, fallback: Column) -> Column:
 
 
 def digest(*cs: Column) -> Column:
-    """Stable hex digest of values; null-ish strings hash alike."""
-    return F.sha2(F.to_json(F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cs])), 256)
+    """Stable hex digest of scalars with their types (1 and "1" differ); null-ish ones hash alike."""
+    return F.sha2(F.to_json(F.struct(*[nullify(c).alias(f"f{i}") for i, c in enumerate(cs)])), 256)
 
 
 def int_digest(*cs: Column) -> Column:
-    return F.hash(digest(*cs))
+    """The first 32 bits of ``digest``, signed."""
+    return (F.conv(F.substring(digest(*cs), 1, 8), 16, 10).cast("bigint") - F.lit(2**31)).cast("int")
+
+
+def type_of(c: Column) -> Column:
+    """Kind of a value: null, string, number, bool, array, container (struct or map) or other, by its static type."""
+    t = F.typeof(c)
+    number = t.isin("tinyint", "smallint", "int", "bigint", "float", "double") | t.startswith("decimal")
+    named = F.when(number, NUMBER).when(t == "string", STRING).when(t == "boolean", BOOL).when(t.startswith("array"), ARRAY).when(t.startswith("struct") | t.startswith("map"), "container").otherwise("other")
+    return F.when(c.isNull(), "null").otherwise(named)
+
+
+def is_type(c: Column, *kinds: str) -> Column:
+    return type_of(c).isin(*kinds)
+
+
+def debug_string(c: Column) -> Column:
+    """A value with its kind, for looking at."""
+    return F.concat(type_of(c), F.lit(": "), F.coalesce(to_text(c), F.lit("")))

@@ -7,6 +7,7 @@ import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scalars import nullify, to_text
 
@@ -31,6 +32,11 @@ def str_join_present(delimiter: str, array: Column) -> Column:
     return F.array_join(array, delimiter)
 
 
+def trimmed(c: Column) -> Column:
+    """Written text without white space around it; nothing left is null."""
+    return nullify(F.trim(c))
+
+
 def str_fmt(pattern: str, *args: Column) -> Column:
     return F.format_string(pattern, *[to_text(a) for a in args])
 
@@ -60,7 +66,7 @@ def extract_regex(c: Column, pattern: str) -> Column:
 
 def extract_all(c: Column, pattern: str, groups: int, make) -> Column:
     """``make(list of groups)`` of every match; group 0 is the match."""
-    found = [F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(i + 1)) for i in range(groups + 1)]
+    found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in range(groups + 1)]
     zipped = F.arrays_zip(*[f.alias(f"g{i}") for i, f in enumerate(found)])
     names = [f"g{i}" for i in range(groups + 1)]
     return F.transform(zipped.cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"), lambda m: make([m[n] for n in names]))
@@ -80,11 +86,29 @@ def sub_str(c: Column, start: int, end: int) -> Column:
     return F.substring(c, start + 1, max(end - start, 0))
 
 
-def serialize_json(struct: Column) -> Column:
-    """Compact JSON; null members are dropped."""
-    return F.to_json(struct)
+def sorted_fields(c: Column, kind: T.DataType) -> Column:
+    """A value with the fields of its structs in the order of their names."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[sorted_fields(c[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: sorted_fields(x, kind.elementType))
+    return c
+
+
+def serialize_json(struct: Column, kind: T.DataType | None = None) -> Column:
+    """Compact JSON; null members are dropped. Fields are sorted by name if the type is given, else as they stand."""
+    return F.to_json(struct if kind is None else sorted_fields(struct, kind))
+
+
+def merge_json(existing: Column, inbound: Column, schema: T.StructType) -> Column:
+    """JSON text of two JSON texts of one schema merged deep: arrays concatenate, other values of ``inbound`` win where they are set."""
+    from ..operators import merge
+
+    a, b = (F.from_json(c, schema) for c in (existing, inbound))
+    return F.coalesce(serialize_json(F.when(a.isNotNull() & b.isNotNull(), merge.merged(a, b, schema, schema)), None), inbound, existing)
 
 
 def json_path(c: Column, *path: str, to: str = "string") -> Column:
     """A value inside JSON text, null if it isn't there."""
-    return F.try_variant_get(F.try_parse_json(c), "$." + ".".join(path), to)
+    steps = "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in path)
+    return F.try_variant_get(F.try_parse_json(c), "$" + steps, to)

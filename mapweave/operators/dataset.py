@@ -5,8 +5,6 @@ Order, where it matters, comes from a column that the caller names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,7 +73,3 @@ def join_one_to_one(left: DataFrame, right: DataFrame, key: str, left_order: lis
     a, b = side(left, left_order, "left"), side(right, right_order, "right")
     return a.join(b, F.col("left_key").eqNullSafe(F.col("right_key")) & (F.col("left_at") == F.col("right_at")), "full_outer").select(F.coalesce("left_key", "right_key").alias("key"), F.coalesce("left_at", "right_at").alias("at"), "left", "right")
 
-
-def join_theta(left: DataFrame, right: DataFrame, *_: Callable) -> DataFrame:
-    """A greedy one-to-one join under another predicate depends on the order of all pairs, so it isn't offered on tables."""
-    raise ValueError("one-to-one joins of tables need an equality of keys; use arrays.join_one_to_one on small arrays")

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import discard, settle
 from .skew import join_by_key
@@ -15,21 +16,67 @@ AND, OR = "AND", "OR"
 
 @dataclass(frozen=True)
 class Criteria:
-    """A tree over a record: a field of kind primitive, array or container, with filters and children."""
+    """A tree over a record: a field of kind primitive, array or container, with filters and children.
+
+    ``filters``: of an array, (field, value) pairs that its elements must hold, fields with dots
+    leading into structs; of a primitive, the values it may have. A name is empty for an array's
+    element itself.
+    """
 
     name: str
     kind: str
     paths: tuple["Criteria", ...] = ()
     operator: str = OR
-    filters: tuple[tuple[str, str], ...] = field(default=())
+    filters: tuple = field(default=())
 
     def __post_init__(self):
+        if not isinstance(self.name, str):
+            raise ValueError(f"field {self.name!r} is no text")
         if self.kind not in ("primitive", "array", "container"):
             raise ValueError(f"{self.name}: kind {self.kind!r} is none of primitive, array, container")
         if self.operator not in (AND, OR):
             raise ValueError(f"{self.name}: operator {self.operator!r} is neither AND nor OR")
         if (self.kind == "primitive") == bool(self.paths):
             raise ValueError(f"{self.name}: a primitive has no paths, anything else has some")
+        if self.kind == "array" and not self.name:
+            raise ValueError("an array has a field")
+        if self.kind == "container" and any(p.kind == "primitive" and not p.name for p in self.paths):
+            raise ValueError(f"{self.name}: a primitive in a container has a field")
+        if self.kind == "container" and self.filters:
+            raise ValueError(f"{self.name}: a container has no filters")
+
+
+def criteria_from(config: dict) -> Criteria:
+    """Criteria of a JSON configuration: field, fieldType, pathOperator, fieldFilter, paths. Malformed ones raise."""
+    if not isinstance(config, dict):
+        raise ValueError(f"{config!r} is no container of criteria")
+    name, kind, operator = (config.get(k, "") for k in ("field", "fieldType", "pathOperator"))
+    paths, allowed = config.get("paths", []), config.get("fieldFilter", [])
+    if not isinstance(kind, str) or not isinstance(operator, str):
+        raise ValueError(f"{name}: fieldType and pathOperator are text")
+    if not isinstance(paths, list):
+        raise ValueError(f"{name}: paths are no array")
+    if not isinstance(allowed, list) or not all(isinstance(v, (str, int, float, bool)) for v in allowed):
+        raise ValueError(f"{name}: fieldFilter is no array of primitives")
+    if allowed and kind != "primitive":
+        raise ValueError(f"{name}: only primitives have a fieldFilter")
+    return Criteria(name, kind, tuple(criteria_from(p) for p in paths), operator or OR, tuple(str(v) for v in allowed))
+
+
+def check_criteria(criteria: Criteria, record: T.DataType) -> None:
+    """Raises where the type of the records is not as the criteria have it; missing fields are no error."""
+    kind = record
+    if criteria.name:
+        if not isinstance(record, T.StructType):
+            raise TypeError(f"{criteria.name} is looked for in a {record.simpleString()}, which has no fields")
+        if criteria.name not in record.fieldNames():
+            return
+        kind = record[criteria.name].dataType
+    wanted = {"array": T.ArrayType, "container": T.StructType}.get(criteria.kind)
+    if wanted and not isinstance(kind, wanted) or not wanted and isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        raise TypeError(f"{criteria.name or 'an element'} is a {kind.simpleString()}, not a {criteria.kind}")
+    for p in criteria.paths:
+        check_criteria(p, kind.elementType if criteria.kind == "array" else kind)
 
 
 def primitive(name: str) -> Criteria:
@@ -73,27 +120,37 @@ def reference_for(name: str) -> Criteria:
 
 
 def identifier_reference_for(name: str) -> Criteria:
-    return any_of(name, all_of("identifier", primitive("system"), primitive("value")))
+    return any_of(name, all_of("", primitive("type"), path_to("identifier", all_of("", primitive("system"), primitive("value")))))
 
 
 def any_meta_tag(*filters) -> Criteria:
     return any_of("meta", array_all_of("tag", primitive("system"), primitive("code"), filters=filters))
 
 
+def any_meta_extension(*filters) -> Criteria:
+    return any_of("meta", array_all_of("extension", primitive("url"), primitive("valueString"), filters=filters))
+
+
+def build_reference(kind: Column, key: Column, separator: str = "/") -> Column:
+    """A reference to a record, ``Type/key``; null if either is null-ish."""
+    return F.when((kind != "") & (key.cast("string") != ""), F.concat(kind, F.lit(separator), key.cast("string")))
+
+
 def property_values(criteria: Criteria, record: Column) -> Column:
     """Distinct strings ``field=...`` of a record (a struct) under the criteria.
 
     OR gives the children's strings one after another; AND combines one of each child, sorted
     and joined with ``|``, and nothing if any child has none.
     """
-    return F.array_distinct(_strings(criteria, record[criteria.name]))
+    return F.array_distinct(_strings(criteria, record[criteria.name] if criteria.name else record))
 
 
 def _strings(c: Criteria, value: Column) -> Column:
     none = F.array().cast("array<string>")
     if c.kind == "primitive":
         text = F.nullif(value.cast("string"), F.lit(""))
-        return F.when(text.isNotNull(), F.array(F.concat(F.lit(f"{c.name}="), text))).otherwise(none)
+        held = text.isin(*c.filters) if c.filters else text.isNotNull()
+        return F.when(held, F.array(F.concat(F.lit(f"{c.name}=" if c.name else ""), text))).otherwise(none)
     if c.kind == "array":
         kept = value
         for name, wanted in c.filters:
@@ -103,7 +160,7 @@ def _strings(c: Criteria, value: Column) -> Column:
 
 
 def _children(c: Criteria, value: Column) -> Column:
-    lists = [_strings(p, value[p.name]) for p in c.paths]
+    lists = [_strings(p, value[p.name] if p.name else value) for p in c.paths]
     if c.operator == OR:
         combined = F.concat(*lists)
     else:
@@ -111,11 +168,16 @@ def _children(c: Criteria, value: Column) -> Column:
         for more in lists[1:]:
             combined = _crossed(combined, more)
         combined = F.transform(combined, lambda parts: F.array_join(F.array_sort(parts), "|"))
-    return F.transform(combined, lambda s: F.concat(F.lit(f"{c.name}="), s))
+    return F.transform(combined, lambda s: F.concat(F.lit(f"{c.name}="), s)) if c.name else combined
 
 
 def _holding(array: Column, name: str, wanted: str) -> Column:
-    return F.filter(array, lambda x: x[name].eqNullSafe(F.lit(wanted)))
+    def inner(x: Column) -> Column:
+        for step in name.split("."):
+            x = x[step]
+        return x
+
+    return F.filter(array, lambda x: inner(x).cast("string").eqNullSafe(F.lit(wanted)))
 
 
 def _crossed(combined: Column, more: Column) -> Column:

@@ -23,6 +23,14 @@ def prefer_inbound(existing: Column, inbound: Column, kind: T.DataType | None =
     return F.coalesce(nullish(kind, inbound) if kind else inbound, existing)
 
 
+def choice_written(rule, existing: Column, inbound: Column, kind: T.StructType, *names: str) -> Column:
+    """The struct ``existing`` with its alternative fields merged by ``rule``: the one that the result names is set, the others are null."""
+    chosen = choice_field(rule, existing, inbound, *names)
+    kinds = {f.name: f.dataType for f in kind}
+    outs = [F.when(chosen["field"] == n, chosen["value"].cast(kinds[n])).alias(n) if n in names else existing[n].alias(n) for n in kinds]
+    return F.struct(*outs)
+
+
 def choice_field(rule, existing: Column, inbound: Column, *names: str) -> Column:
     """Of alternative fields: the merge by ``rule`` of the first one set on each side, as (field, value)."""
 
@@ -72,3 +80,30 @@ def merge_snapshots(df: DataFrame, key: list[str], order: list[str], rules: dict
             on = on & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
         done = done.join(found, on, "left").withColumn(n, F.coalesce("__found", F.array().cast(kinds[n]))).select(*done.columns, n)
     return done.select(*key, *names)
+
+
+def rules_for(kind: str, rules: dict[str, dict[str, str]], default: dict[str, str] | None = None) -> dict[str, str]:
+    """The field rules of a record type: those under its name, else ``default``; single fields of ``default`` hold where a type says nothing of them."""
+    return (default or {}) | rules.get(kind, {})
+
+
+def merge_by_type(df: DataFrame, type_column: str, key: list[str], order: list[str], rules: dict[str, dict[str, str]], default: dict[str, str] | None = None, modes: dict[str, str] | None = None) -> DataFrame:
+    """``merge_snapshots`` of records of several types, each by the rules (and in the mode) of its type.
+
+    Types without rules of their own, null among them, share the default ones and are merged in one pass.
+    """
+    modes = modes or {}
+    named = sorted(set(rules) | set(modes))
+    kind = F.col(type_column)
+    keys = [type_column, *key]
+    other = ~kind.isin(*named) | kind.isNull() if named else F.lit(True)
+    done = merge_snapshots(df.where(other), keys, order, default or {})
+    for n in named:
+        done = done.unionByName(merge_snapshots(df.where(kind == n), keys, order, rules_for(n, rules, default), modes.get(n, "merge")))
+    return done
+
+
+def without_tags(array: Column, field: str, *values: str) -> Column:
+    """An array of structs (meta tags and the like) without those whose ``field`` has one of the values; null if none is left."""
+    left = F.filter(array, lambda x: ~F.coalesce(x[field].isin(*values), F.lit(False)))
+    return F.when(F.size(left) > 0, left)

@@ -12,7 +12,7 @@ BROADCAST_ROWS = 200_000
 
 
 def concept_table(spark: SparkSession, maps: list[dict]) -> DataFrame:
-    """Rows (map_id, source, code, target_code, display, target_system, version) of concept maps; of equal ids the first holds."""
+    """Rows (map_id, source, code, at, target_code, display, target_system, version) of concept maps, ``at`` in their order; of equal ids the first holds."""
     rows, seen = [], set()
     for m in maps:
         if m["id"] in seen:
@@ -21,12 +21,17 @@ def concept_table(spark: SparkSession, maps: list[dict]) -> DataFrame:
         for g in m.get("group", []):
             for e in g.get("element", []):
                 for t in e.get("target", []):
-                    rows.append((m["id"], g.get("source", ""), e["code"], t["code"], t.get("display", ""), g.get("target", ""), m.get("version", "")))
-    return spark.createDataFrame(rows, "map_id string, source string, code string, target_code string, display string, target_system string, version string")
+                    rows.append((m["id"], g.get("source", ""), e["code"], len(rows), t["code"], t.get("display", ""), g.get("target", ""), m.get("version", "")))
+    return spark.createDataFrame(rows, "map_id string, source string, code string, at int, target_code string, display string, target_system string, version string")
 
 
 def unmapped_table(spark: SparkSession, maps: list[dict]) -> DataFrame:
-    """(map_id, source, mode, fixed_code, fixed_display, target_system, version) of the groups' unmapped rules."""
+    """``unmapped_rules`` as a table (map_id, source, mode, fixed_code, fixed_display, target_system, version)."""
+    return spark.createDataFrame(unmapped_rules(maps), "map_id string, source string, mode string, fixed_code string, fixed_display string, target_system string, version string")
+
+
+def unmapped_rules(maps: list[dict]) -> list[tuple]:
+    """The groups' rules for codes without a match; of equal map ids the first holds."""
     rows, seen = [], set()
     for m in maps:
         if m["id"] in seen:
@@ -36,7 +41,7 @@ def unmapped_table(spark: SparkSession, maps: list[dict]) -> DataFrame:
             u = g.get("unmapped")
             if u:
                 rows.append((m["id"], g.get("source", ""), u["mode"], u.get("code", ""), u.get("display", ""), g.get("target", ""), m.get("version", "")))
-    return spark.createDataFrame(rows, "map_id string, source string, mode string, fixed_code string, fixed_display string, target_system string, version string")
+    return rows
 
 
 def load_concept_maps(text: str) -> list[dict]:
@@ -55,17 +60,18 @@ def harmonize(df: DataFrame, maps: list[dict], map_id: str, code: Column, system
     spark = df.sparkSession
     system = F.coalesce(system, F.lit("")) if system is not None else F.lit("")
     known = concept_table(spark, maps).where(F.col("map_id") == map_id)
-    rules = unmapped_table(spark, maps).where(F.col("map_id") == map_id)
     if target_system is not None:
-        known, rules = (t.where(F.col("target_system") == target_system) for t in (known, rules))
-    entry = F.struct(F.col("target_code").alias("code"), "display", F.col("target_system").alias("system"), "version")
-    by_source = known.groupBy("source", "code").agg(F.sort_array(F.collect_list(entry)).alias("found"))
-    any_source = known.groupBy("code").agg(F.sort_array(F.collect_list(entry)).alias("found")).select(F.lit("").alias("source"), "code", "found")
+        known = known.where(F.col("target_system") == target_system)
+    names = ("source", "mode", "fixed_code", "fixed_display", "target_system", "version")
+    rule_rows = [dict(zip(names, r[1:])) for r in unmapped_rules(maps) if r[0] == map_id and target_system in (None, r[5])]
+    entry = F.struct("at", F.col("target_code").alias("code"), "display", F.col("target_system").alias("system"), "version")
+    in_order = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x.dropFields("at")).alias("found")
+    by_source = known.groupBy("source", "code").agg(in_order)
+    any_source = known.groupBy("code").agg(in_order).select(F.lit("").alias("source"), "code", "found")
     lookup = by_source.where("source <> ''").unionByName(any_source).withColumnsRenamed({"source": "__source", "code": "__code"})
     small = sum(len(g.get("element", [])) for m in maps for g in m.get("group", [])) <= BROADCAST_ROWS
     keyed = df.withColumns({"__c": code.cast("string"), "__s": system})
     met = keyed.join(F.broadcast(lookup) if small else lookup, (F.col("__c") == F.col("__code")) & (F.col("__s") == F.col("__source")), "left")
-    rule_rows = [r.asDict() for r in rules.collect()]
     kind = "array<struct<code: string, display: string, system: string, version: string>>"
 
     def rule_entry(r: dict) -> Column:
@@ -80,17 +86,23 @@ def harmonize(df: DataFrame, maps: list[dict], map_id: str, code: Column, system
 
 
 def unit_table(spark: SparkSession, conversions: list[dict]) -> DataFrame:
-    """(unit, u_code, u_system, dest_unit, scalar, constant, constant_first) for each source unit."""
+    """(unit, u_code, u_system, dest_unit, scalar, constant, constant_first), the first for each source unit, code and system."""
     rows = [(u, c.get("code", ""), c.get("codesystem", ""), c["dest_unit"], float(c.get("scalar", 1.0)), float(c.get("constant", 0.0)), bool(c.get("constant_first", False))) for c in conversions for u in c["source_unit"]]
+    rows = list({r[:3]: r for r in reversed(rows)}.values())
     return spark.createDataFrame(rows, "u_unit string, u_code string, u_system string, dest_unit string, scalar double, constant double, constant_first boolean")
 
 
 def harmonize_unit(df: DataFrame, conversions: list[dict], quantity: Column, unit: Column, code: Column, system: Column, decimals: int, prefix: str = "si_") -> DataFrame:
-    """``df`` with the converted quantity and unit, and whether a conversion was found; else as they were."""
+    """``df`` with the converted quantity and unit, and whether a conversion was found; else as they were.
+
+    A conversion is looked up by unit, code and system as they are, null being "", so each
+    record meets one at most.
+    """
     table = unit_table(df.sparkSession, conversions)
     keyed = df.withColumns({"__q": quantity.cast("double"), "__u": unit, "__c": F.coalesce(code, F.lit("")), "__y": F.coalesce(system, F.lit(""))})
-    on = (F.col("__u") == F.col("u_unit")) & ((F.col("u_code") == "") | (F.col("u_code") == F.col("__c"))) & ((F.col("u_system") == "") | (F.col("u_system") == F.col("__y")))
-    met = keyed.join(F.broadcast(table) if len(conversions) <= BROADCAST_ROWS else table, on, "left")
+    on = (F.col("__u") == F.col("u_unit")) & (F.col("u_code") == F.col("__c")) & (F.col("u_system") == F.col("__y"))
+    units = sum(len(c["source_unit"]) for c in conversions)
+    met = keyed.join(F.broadcast(table) if units <= BROADCAST_ROWS else table, on, "left")
     value = F.when(F.col("constant_first"), (F.col("constant") + F.col("__q")) * F.col("scalar")).otherwise(F.col("scalar") * F.col("__q") + F.col("constant"))
     done = met.withColumns({f"{prefix}value": F.when(F.col("dest_unit").isNull(), F.col("__q")).otherwise(F.round(value, decimals)), f"{prefix}unit": F.coalesce("dest_unit", "__u"), f"{prefix}converted": F.col("dest_unit").isNotNull()})
     return done.drop("__q", "__u", "__c", "__y", *table.columns)

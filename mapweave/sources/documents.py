@@ -59,3 +59,22 @@ def abs_path(base: str, *parts: str) -> str:
     if parts and (parts[0].startswith("/") or "://" in parts[0]):
         return join_path(*parts)
     return join_path(posixpath.dirname(base), *parts)
+
+
+def from_literal(spark: SparkSession, text: str, schema: T.StructType | str) -> DataFrame:
+    """A small table of a JSON text (a document or an array of them) that the program holds."""
+    array = text.lstrip().startswith("[")
+    kind = f"array<{schema if isinstance(schema, str) and schema.startswith('struct') else 'struct<' + schema + '>' if isinstance(schema, str) else schema.simpleString()}>"
+    row = spark.createDataFrame([(text if array else f"[{text}]",)], "text string")
+    return row.select(F.inline(F.from_json("text", kind)))
+
+
+def write_each(df: DataFrame, path: str, name: str, root: str = "root") -> None:
+    """One folder with a JSON text file for each value of ``name`` (``path/name=value``), written by as many tasks as hold rows."""
+    df.select(name, F.to_json(root).alias("value")).repartition(name).write.partitionBy(name).text(path)
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A row for each element ``row_tag`` of XML files; attributes are columns with ``_`` before their names."""
+    reader = spark.read.format("xml").option("rowTag", row_tag)
+    return (reader if schema is None else reader.schema(schema)).load(path)
