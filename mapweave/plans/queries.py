@@ -256,9 +256,9 @@ def regex_functions(spark, sf_dir):
     return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.matches_regex(F.col("p_brand"), "[A-Za-z]+#[0-9]+").alias("whole"), X.extract_regex(F.col("p_name"), "[0-9]+").alias("num"), X.str_join("", initials).alias("initials"))
 
 
-@query("SELECT doc_id AS id, to_base64(encode(substring(text, 1, 20))) AS b, substring(text, 1, 20) AS back FROM documents")
+@query("SELECT doc_id AS id, to_base64(encode(lang || ': ' || text)) AS b, lang || ': ' || text AS back FROM documents")
 def base64_functions(spark, sf_dir):
-    s = F.substring("text", 1, 20)
+    s = F.concat("lang", F.lit(": "), "text")
     return t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.base64_encode(s).alias("b"), X.base64_decode(X.base64_encode(s)).alias("back"))
 
 
@@ -352,6 +352,6 @@ def union_and_diff(spark, sf_dir):
     return met.select("user_id", big(F.size(A.union_by_field(F.col("a"), F.col("b"), lambda x: x))).alias("n_union"), big(F.size(A.diff(F.col("a"), F.col("b")))).alias("n_diff"))
 
 
-@query()
+@query("SELECT n_nationkey, sha256('{\"f0\":\"' || n_name || '\",\"f1\":' || n_regionkey || '}') AS h, (('0x' || substr(sha256('{\"f0\":\"' || n_name || '\"}'), 1, 8))::BIGINT - 2147483648)::INT AS i FROM nation")
 def digests(spark, sf_dir):
     return t(spark, sf_dir, "nation").select("n_nationkey", S.digest(F.col("n_name"), F.col("n_regionkey")).alias("h"), S.int_digest(F.col("n_name")).alias("i"))

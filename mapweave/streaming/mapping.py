@@ -18,7 +18,7 @@ def run_mapping(source: DataFrame, mapping: Callable[[DataFrame], DataFrame], ou
     return mapping(source).writeStream.format(form).option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def latest_by_window(source: DataFrame, time: str, key: str, value: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """The last value of each key in each window, with a watermark that bounds the state."""
+def latest_by_window(source: DataFrame, time: str, key: str, value: str, width: str = "1 day", late: str = "1 day", order: str | None = None) -> DataFrame:
+    """The last value of each key in each window, with a watermark that bounds the state; ``order`` decides between equal times."""
     timed = source.withWatermark(time, late)
-    return timed.groupBy(F.window(time, width).alias("w"), key).agg(F.max_by(value, time).alias(value), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, value, "n")
+    return timed.groupBy(F.window(time, width).alias("w"), key).agg(F.max_by(value, order or time).alias(value), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, value, "n")
