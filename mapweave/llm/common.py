@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators.skew import join_by_key  # noqa: F401
@@ -35,6 +36,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_batches(df: DataFrame, run, more: list[T.StructField]) -> DataFrame:
+    """``df.mapInArrow`` to the columns of ``df`` and ``more``, whose names may hold dots."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType([*plain.schema, *more])
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *[f.name for f in more])
+
+
 def numbered(docs: DataFrame, by: str, out: str) -> DataFrame:
     """``docs`` as a written table with ``out``, a long of its own for each row, in the order of ``by``, nulls last.
 
@@ -54,8 +62,8 @@ def join_by_size(large: DataFrame, small: DataFrame, on, how: str = "inner", cel
 
 
 def row_salt(df: DataFrame) -> Column:
-    """A hash of all columns of a row, so that rows that share a key are dealt apart if they differ at all."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """A hash of all columns of a row but maps and variants, so that rows that share a key are dealt apart if they differ there."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
 
 
 def gapless_rank(df: DataFrame, by: list[str], order: list[Column], salt: Column, out: str, buckets: int = RANK_BUCKETS, about: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 mu-law and A-law codes expand through tables of 256 values, built from their formulas. IMA
 ADPCM blocks of ``BLOCK`` bytes decode with numpy across all blocks of a batch at once. The
-decoded PCM is resampled from 8 to 16 kHz.
+decoded PCM is resampled from 8 to 16 kHz and stored as a WAVE file of its own. Long payloads are
+decoded, resampled and measured piece by piece.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import map_batches, table
 
 RATE, OUT_RATE, BLOCK = 8000, 16000, 64
 #: WAVE format tags (fixed values).
-TAGS = {"mulaw": 7, "alaw": 6, "ima": 0x11}
-#: Bytes of stored media that one output batch holds, about.
+TAGS = {"mulaw": 7, "alaw": 6, "ima": 0x11, "pcm": 1}
+CODECS = ("mulaw", "alaw", "ima")
+#: Bytes of stored media that one output batch holds, about, and samples or blocks that are worked on at a time.
 BATCH_BYTES = 4 << 20
+PIECE = 1 << 18
 
 #: IMA ADPCM step sizes and index changes (fixed values of the format).
 STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767], np.int32)
@@ -72,9 +76,9 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
 
 def wave(codec: str, payload: bytes, rate: int = RATE) -> bytes:
     """A WAVE file that holds ``payload`` unchanged."""
-    align, bits = (BLOCK, 4) if codec == "ima" else (1, 8)
+    align, bits = (BLOCK, 4) if codec == "ima" else (2, 16) if codec == "pcm" else (1, 8)
     per_block = 1 + 2 * (BLOCK - 4)
-    speed = rate * BLOCK // per_block if codec == "ima" else rate
+    speed = rate * BLOCK // per_block if codec == "ima" else rate * align
     extra = struct.pack("<HH", 2, per_block) if codec == "ima" else struct.pack("<H", 0)
     fmt = struct.pack("<HHIIHH", TAGS[codec], 1, rate, speed, align, bits) + extra
     body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) & 1)
@@ -106,8 +110,10 @@ def resample(pcm: np.ndarray, rate: int = RATE, out_rate: int = OUT_RATE) -> np.
     if out_rate == 2 * rate:
         out = np.empty(2 * len(pcm), np.int16)
         out[::2] = pcm
-        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
         out[-1] = pcm[-1]
+        for i in range(0, len(pcm) - 1, PIECE):
+            j = min(i + PIECE, len(pcm) - 1)
+            out[2 * i + 1 : 2 * j : 2] = (pcm[i:j].astype(np.int32) + pcm[i + 1 : j + 1]) >> 1
         return out
     at = np.arange(len(pcm) * out_rate // rate) * (rate / out_rate)
     return np.rint(np.interp(at, np.arange(len(pcm)), pcm)).astype(np.int16)
@@ -115,10 +121,28 @@ def resample(pcm: np.ndarray, rate: int = RATE, out_rate: int = OUT_RATE) -> np.
 
 def feature(codec: str, pcm: np.ndarray) -> str:
     """Codec, samples, root mean square, peak and sign changes of PCM."""
-    wide = pcm.astype(np.int64)
-    rms = int((wide * wide).sum() // max(1, len(pcm))) ** 0.5
-    turns = int(np.count_nonzero((pcm[1:] >= 0) != (pcm[:-1] >= 0)))
-    return f"{codec};n={len(pcm)};rms={rms:.2f};peak={int(np.abs(wide).max(initial=0))};turns={turns};crc={zlib.crc32(pcm.tobytes())}"
+    power = peak = turns = crc = 0
+    for i in range(0, len(pcm), PIECE):
+        wide = pcm[i : i + PIECE].astype(np.int64)
+        power += int((wide * wide).sum())
+        peak = max(peak, int(np.abs(wide).max()))
+        up = pcm[max(i - 1, 0) : i + PIECE] >= 0
+        turns += int(np.count_nonzero(up[1:] != up[:-1]))
+        crc = zlib.crc32(pcm[i : i + PIECE].tobytes(), crc)
+    return f"{codec};n={len(pcm)};rms={(power // max(1, len(pcm))) ** 0.5:.2f};peak={peak};turns={turns};crc={crc}"
+
+
+def samples_of(codec: str, payload: bytes) -> np.ndarray:
+    """The 16-bit samples of a payload."""
+    if codec == "pcm":
+        return np.frombuffer(payload, "<i2")
+    if codec != "ima":
+        return (MULAW if codec == "mulaw" else ALAW)[np.frombuffer(payload, np.uint8)]
+    blocks = np.frombuffer(payload, np.uint8)[: len(payload) // BLOCK * BLOCK].reshape(-1, BLOCK)
+    out = np.empty((len(blocks), 1 + 2 * (BLOCK - 4)), np.int16)
+    for i in range(0, len(blocks), PIECE // BLOCK):
+        out[i : i + PIECE // BLOCK] = decode_ima(blocks[i : i + PIECE // BLOCK])
+    return out.reshape(-1)
 
 
 def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -130,9 +154,10 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """(key, n_bytes, media): each text's UTF-8 bytes, padded with zeros to whole blocks, as a WAVE file.
 
     A null text is empty and one block of zeros. The codec follows the payload, so equal texts
-    give equal files; repeated rows are stored again.
+    give equal files; repeated rows are stored again, rows without a key too; an empty table
+    gives no rows; other columns are left out, whatever their names.
     """
-    names = list(TAGS)
+    names = CODECS
     schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +178,14 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def decode(stored: DataFrame, media: str = "media") -> DataFrame:
-    """``stored`` with payload, pcm (16-bit, ``OUT_RATE``) and feature of each file in ``media``.
+    """``stored`` with payload, pcm (a WAVE file of 16-bit samples at ``OUT_RATE``) and feature of each file in ``media``.
 
-    Null media give nulls. Columns of these names are replaced.
+    Null media give nulls. Columns of these names are replaced; others stay, whatever their
+    names. A file and its PCM are held whole, some 20 bytes for each byte of the longest.
     """
-    kept = stored.drop("payload", "pcm", "feature")
+    kept = stored.select(*[F.col(f"`{c}`") for c in stored.columns if c not in ("payload", "pcm", "feature")])
     at = kept.columns.index(media)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", payload binary, pcm binary, feature string"
+    more = [T.StructField("payload", T.BinaryType()), T.StructField("pcm", T.BinaryType()), T.StructField("feature", T.StringType())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,8 +198,8 @@ def decode(stored: DataFrame, media: str = "media") -> DataFrame:
 
     def decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         parsed = [parse_wave(x) if x is not None else None for x in batch.column(at).to_pylist()]
-        ima = [np.frombuffer(p[2], np.uint8) for p in parsed if p and p[0] == "ima"]
-        whole = decode_ima(np.concatenate(ima).reshape(-1, BLOCK)) if ima else None
+        # all blocks of the batch at once
+        whole = samples_of("ima", b"".join(p[2][: len(p[2]) // BLOCK * BLOCK] for p in parsed if p and p[0] == "ima"))
         used, out = 0, []
         for p in parsed:
             if p is None:
@@ -181,20 +207,20 @@ def decode(stored: DataFrame, media: str = "media") -> DataFrame:
                 continue
             codec, rate, payload = p
             if codec == "ima":
-                n = len(payload) // BLOCK
-                samples, used = whole[used : used + n].reshape(-1), used + n
+                n = len(payload) // BLOCK * (1 + 2 * (BLOCK - 4))
+                samples, used = whole[used : used + n], used + n
             else:
-                samples = (MULAW if codec == "mulaw" else ALAW)[np.frombuffer(payload, np.uint8)]
+                samples = samples_of(codec, payload)
             pcm = resample(samples, rate)
-            out.append((payload, pcm.tobytes(), feature(codec, pcm)))
+            out.append((payload, wave("pcm", pcm.tobytes(), OUT_RATE), feature(codec, pcm)))
         extra = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.binary(), pa.binary(), pa.string()))]
         return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "payload", "pcm", "feature"])
 
-    return kept.mapInArrow(read, schema)
+    return map_batches(kept, read, more)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store(table(spark, sf_dir, "documents"))
     read = decode(stored)
     n = F.octet_length("payload")
-    return read.select("doc_id", "n_bytes", n.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr(f"substring(payload, -{BLOCK}, {BLOCK})")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    return read.select("doc_id", "n_bytes", n.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr(f"substring(payload, -{BLOCK}, {BLOCK})")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))

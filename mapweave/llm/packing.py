@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, settle, table
+from .common import gapless_rank, row_salt, settle, table
 
 LENGTH = 1024
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -68,8 +68,9 @@ def _encoder(path, ranks):
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, path: str | None = None, ranks: str | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids) of each piece.
 
-    A document's ids end with id 0; a null or empty text is that id alone. Repeated rows give
-    repeated pieces.
+    A document's ids end with id 0; a null or empty text is that id alone. Repeated rows, and
+    rows without a key, give pieces of their own. Other columns are left out, whatever their
+    names; an empty table gives no rows.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
 
@@ -142,7 +143,7 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = rows.sparkSession
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     places = spark.createDataFrame(slots(patterns(histogram, length)), "p_length long, first long, after long, base long, offset long")
-    ranked = gapless_rank(rows, ["length"], [F.col("doc_id"), F.col("start")], F.xxhash64("doc_id", "start"), "__rank")
+    ranked = gapless_rank(rows, ["length"], [F.col("doc_id"), F.col("start"), row_salt(rows)], row_salt(rows), "__rank")
     on = (F.col("length") == F.col("p_length")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("after"))
     met = ranked.join(F.broadcast(places), on)  # some places for each of at most `length` lengths
     return met.select(*cut.columns, (F.col("base") + F.col("__rank") - F.col("first")).alias("sequence_id"), "offset")

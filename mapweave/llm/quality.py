@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 
-#: Rows that the scorer is trained on, at most, by a hash of the key; the longest such text in bytes.
-SAMPLE, SAMPLE_BYTES = 4000, 32_768
+#: Rows that the scorer is trained on, at most, by a hash of the key.
+SAMPLE = 4000
 BUCKETS, ROUNDS, EPOCHS, RIDGE = 1 << 12, 60, 150, 1e-3
 PRIOR = 0.8
 GOOD, BAD, NONE = 1, 0, -1
@@ -41,7 +41,9 @@ def votes(text: Column) -> dict[str, Column]:
     share = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / chars
     symbols, capitals, ends = share(r"[#$%&*|<>{}\\^~=@_+/]+"), share(r"[A-Z]+"), F.length(t) - F.length(F.regexp_replace(t, r"[.?]", ""))
     distinct = F.size(F.array_distinct(words)) / n
-    repeats = 1 - F.length(F.regexp_replace(t, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]{1,60})(?:\x20\1)+(?![^\x20\x09-\x0D])", "$1")) / chars
+    # characters of words that say the one before them again
+    again = F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.when(a == b, F.length(b) + 1).otherwise(0))
+    repeats = F.aggregate(again, F.lit(0), lambda acc, x: acc + x) / chars
     mean = chars / n
     shouts = (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))) / n
     return {
@@ -119,12 +121,14 @@ def train(rows: list[tuple[str, float]]) -> np.ndarray:
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, votes..., posterior, score, kept) of every row; kept: score of 0.5 or more.
 
-    Null texts count as empty; an empty table gives no rows. The counts of vote patterns (at
-    most 3 ** 7) and the training sample reach the driver.
+    Null texts count as empty; rows with equal or null keys are texts of their own, equal rows
+    give equal results; an empty table gives no rows; other columns are left out, whatever
+    their names. The counts of vote patterns (at most 3 ** 7) and the training sample, a number
+    of whole texts, reach the driver.
     """
     body = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     names = list(votes(F.col("text")))
-    voted = settle(body.select("key", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), *[v.alias(k) for k, v in votes(F.col("text")).items()]))
+    voted = settle(body.select("key", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), *[v.alias(k) for k, v in votes(F.col("text")).items()]))
     seen = voted.groupBy(*names).count().orderBy(*names).collect()
     patterns = np.array([[r[k] for k in names] for r in seen], int).reshape(-1, len(names))
     post, _, _ = estimate(patterns, np.array([r["count"] for r in seen], float))
@@ -133,8 +137,8 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     known = docs.sparkSession.createDataFrame(list(zip(codes, map(float, post))), "code int, posterior double")
     labelled = voted.withColumn("code", code.cast("int")).join(F.broadcast(known), "code").drop("code")
 
-    picked = labelled.where(F.col("size") <= SAMPLE_BYTES).orderBy(F.xxhash64("key", "h"), "key").limit(SAMPLE).select("key", "h", "posterior")
-    sample = body.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).join(F.broadcast(picked), ["key", "h"]).dropDuplicates(["key", "h"]).select("key", F.coalesce("text", F.lit("")).alias("text"), "posterior").collect()
+    picked = labelled.orderBy(F.xxhash64("key", "h"), "key").limit(SAMPLE).select("key", "h", "posterior")
+    sample = body.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).join(F.broadcast(picked.withColumnsRenamed({"key": "p_key", "h": "p_h"})), F.col("key").eqNullSafe(F.col("p_key")) & (F.col("h") == F.col("p_h"))).dropDuplicates(["key", "h"]).select("key", F.coalesce("text", F.lit("")).alias("text"), "posterior").collect()
     weights = train([(r["text"], r["posterior"]) for r in sorted(sample, key=lambda r: (str(r["key"]), r["text"]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

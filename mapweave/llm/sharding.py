@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, table
+from .common import gapless_rank, row_salt, table
 
 SHARDS, RACK, REGION = 24, 4, 3
 
@@ -65,14 +65,15 @@ def shard_of(tree: Topology, *key: Column) -> Column:
 def assign(df: DataFrame, key: str, tree: Topology, shard: str = "shard", slot: str | None = "slot") -> DataFrame:
     """``df`` with its shard and its slot, gapless from 0 in each shard.
 
-    Equal keys, repeated rows included, share a shard; each row has a slot of its own. An
-    empty table gives no rows; null keys go to one shard. Columns named as the outputs are
-    replaced.
+    Equal keys, repeated rows included, share a shard; each row has a slot of its own, and rows
+    that differ in any column keep theirs in every run. An empty table gives no rows; null keys
+    go to one shard. Columns named as the outputs are replaced, others stay whatever their names.
     """
-    put = df.drop(*[c for c in (shard, slot) if c]).withColumn(shard, shard_of(tree, F.col(f"`{key}`")).cast("int"))
+    put = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (shard, slot)]).withColumn(shard, shard_of(tree, F.col(f"`{key}`")).cast("int"))
     if slot is None:
         return put
-    return gapless_rank(put, [shard], [F.col(f"`{key}`").asc_nulls_first()], F.xxhash64(F.lit("slot"), F.col(f"`{key}`")), slot)
+    salt = F.xxhash64(F.lit("slot"), row_salt(put))
+    return gapless_rank(put, [shard], [F.col(f"`{key}`").asc_nulls_first(), row_salt(put)], salt, slot)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,12 +26,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import map_batches, table
 
-#: Labelled documents that the model is fitted on, at most, and the longest such document in bytes.
+#: Labelled documents that the model is fitted on, at most.
 SAMPLE = {1: 1500, 0: 3000}
-SAMPLE_BYTES = 32_768
 BASE_WORDS = 500
 #: Segments that may enter by chance, among all that are looked at.
 BY_CHANCE = 0.01
@@ -207,12 +207,13 @@ def train(samples: list[tuple[str, int]], prior: float) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from labelled documents whose crc32 of the key as text, mod 5, is not 0.
 
-    At most ``SAMPLE`` documents a class, of at most ``SAMPLE_BYTES``, by a hash of the key,
-    reach the driver; null labels and keys are left out.
+    At most ``SAMPLE`` documents a class, by a hash of the key, reach the driver, whole; null
+    labels and keys, and null texts, are left out, and a key that is labelled both ways counts
+    for both. Without documents of both classes the model gives the share of label 1.
     """
     known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out("k"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null")
     parts = []
     for y, most in SAMPLE.items():
         ids = known.where(F.col("y") == y).select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(most)
@@ -227,10 +228,13 @@ def held_out(key: str):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``: the likelihood of label 1 of each whole text, null as empty. A column of that name is replaced."""
-    kept = docs.drop("score")
+    """``docs`` with ``score``: the likelihood of label 1 of each whole text, null as empty.
+
+    Equal texts have equal scores, whatever their keys, and repeated rows stay; an empty table
+    gives no rows. A column of that name is replaced; others stay, whatever their names.
+    """
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
     at = kept.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = compressors(model) if model.constant is None else None
@@ -243,7 +247,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 p = np.full(batch.num_rows, model.constant)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, [T.StructField("score", T.DoubleType())])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

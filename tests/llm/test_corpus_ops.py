@@ -379,3 +379,15 @@ def test_source_targets_of_tables(spark):
         want = mixing.targets(sizes)
         assert len(got) == len(want) and all(abs(r["target"] - want[r["source"]]) <= 1e-6 * max(1, want[r["source"]]) for r in got)
     assert mixing.source_targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
+def test_ids_of_a_whole_table_by_the_tokenizer_file(spark):
+    """All documents of sf0.1: the ids that the operator uses are those of the tokenizer file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    full, encode = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing.encoder()
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    for i in range(0, len(texts), 500):
+        want = [e.ids for e in full.encode_batch(texts[i : i + 500], add_special_tokens=False)]
+        assert [encode(t) for t in texts[i : i + 500]] == want
