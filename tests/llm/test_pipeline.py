@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from mapweave.llm import packing
 from mapweave.llm.common import settle
@@ -63,3 +65,24 @@ def test_null_and_repeated_keys(spark):
 
     packed = P.pack_tokens(spark, docs, SF).collect()
     assert len(packed) == len(some) and Counter(r["doc_id"] for r in packed) == Counter(k for k, _ in some)
+
+
+def test_awkward_rows(spark):
+    """Null, empty and repeated rows, a long text and clashing names through every stage."""
+    long = " ".join(f"w{i % 4000}x{i % 11}" for i in range(60_000))
+    some = [(None, None, None), (1, None, "a"), (2, "", None), (3, " \n", "a"), (4, "a line of text\na line of text", "b"), (4, "a line of text\na line of text", "b"), (5, long, "b"), (6, long + " end", None), (None, "alone without a key", "a")]
+    clash = ["__row", "copy", "copies", "score", "n_lines_gone_", "__lines", "size", "row", "a.b"]
+    docs = settle(spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in some], "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)]))
+    rows = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    have = Counter((k, t) for k, t, _ in some)
+    for f in (P.drop_toxic, P.dedup_lines, P.drop_near_dups, P.mix_sources):
+        done = f(spark, docs, SF)
+        assert done.columns == docs.columns and f(spark, docs.limit(0), SF).count() == 0
+        assert done.select(*[f"`{c}`" for c in clash if c != "a.b"]).distinct().collect() == [tuple(i for i, c in enumerate(clash) if c != "a.b")]
+    assert rows(P.drop_toxic(spark, docs, SF)) == have
+    lines_left = have - Counter({(4, "a line of text\na line of text"): 2, (6, long + " end"): 1}) + Counter({(4, "a line of text"): 1})
+    assert rows(P.dedup_lines(spark, docs, SF)) == lines_left
+    assert rows(P.drop_near_dups(spark, docs, SF)) == have - Counter({(4, "a line of text\na line of text"): 1, (6, long + " end"): 1})
+    mixed = rows(P.mix_sources(spark, docs, SF))
+    assert all(n <= 2 * have[k] for k, n in mixed.items())
+    assert P.pack_tokens(spark, docs, SF).where("start = 0").count() == len(some) and P.pack_tokens(spark, docs.limit(0), SF).count() == 0
