@@ -5,9 +5,10 @@ same frequent words at the same distances; around them stand, in the toxic ones,
 segments (word beginnings and words) that toxic documents use more often than chance allows
 and, in the ordinary one, as much of further ordinary words. One toxic dictionary holds all
 such segments, the other only those of strong evidence, so that weak ones (of languages with
-few toxic documents) count by what they are worth. A window that a
-dictionary knows compresses to fewer bytes with it, and the differences over a document's
-windows, put through a logistic calibration, give its score. That is done with the bytes as they
+few toxic documents) count by what they are worth; it is asked only about windows that the full
+one shortens. A window that a dictionary knows compresses to fewer bytes with it, and the
+differences over a document's windows, put through a logistic calibration, give its score. That
+is done with the bytes as they
 are, and in shorter windows with each byte written twice, once with its top bit flipped, so
 that a known word saves well more than a match costs. The calibration sees each labelled
 document through dictionaries that were made without it.
@@ -40,7 +41,7 @@ EVIDENCE_SHARE = 0.2
 #: Parts of the labelled documents, each of which is measured with dictionaries made from the others.
 FOLDS = 5
 #: Words in a window as it is and in one of bytes written twice.
-PLAIN_WINDOW, WIDE_WINDOW = 8, 4
+PLAIN_WINDOW, WIDE_WINDOW = 8, 6
 #: Windows are counted that save at least so many bytes, and none counts for fewer than the loss.
 PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS = (3, 5), (4, 6), -2
 WIDE_SHARES, WIDE_STEPS, WIDE_LOSS = (), (4, 7, 10, 13), -4
@@ -139,9 +140,12 @@ def features(text_words: list[bytes], *made) -> list[float]:
     wide = [widened(w) + END for w in windows(text_words, WIDE_WINDOW)]
     out: list[float] = []
     for found, (strong, toxic, ordinary), how in ((plain, made[:3], (PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS)), (wide, made[3:], (WIDE_SHARES, WIDE_STEPS, WIDE_LOSS))):
-        size = np.array([len(ordinary(w)) for w in found])
-        for compress in (strong, toxic):
-            out += savings(size - np.array([len(compress(w)) for w in found]), *how)
+        full, sure = [], []
+        for w in found:
+            size = len(ordinary(w))
+            full.append(size - len(toxic(w)))
+            sure.append(size - len(strong(w)) if full[-1] > 0 else full[-1])
+        out += savings(np.array(sure), *how) + savings(np.array(full), *how)
     return out
 
 
