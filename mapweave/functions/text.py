@@ -109,6 +109,8 @@ def merge_json(existing: Column, inbound: Column, schema: T.StructType) -> Colum
 
 
 def json_path(c: Column, *path: str, to: str = "string") -> Column:
-    """A value inside JSON text, null if it isn't there."""
-    steps = "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in path)
+    """A value inside JSON text, null if it isn't there; names may hold dots."""
+    if any("'" in p and '"' in p for p in path):
+        raise ValueError("a field's name can't hold both kinds of quotes")
+    steps = "".join(f'["{p}"]' if "'" in p else f"['{p}']" for p in path)
     return F.try_variant_get(F.try_parse_json(c), "$" + steps, to)

@@ -209,3 +209,132 @@ def test_query_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture
+def in_zone(spark):
+    yield lambda zone: spark.conf.set("spark.sql.session.timeZone", zone)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_under_any_session_zone(spark, in_zone, zone):
+    in_zone(zone)
+    iso = F.lit("2024-01-01T00:00:00Z")
+    assert one(spark, D.from_millis(F.lit(0)), D.from_millis(F.lit(-1)), D.to_millis(F.lit("1970-01-01T00:00:01")), D.to_millis(F.lit("1970-01-02"))) == ("1970-01-01T00:00:00.000Z", "1969-12-31T23:59:59.999Z", 1000, 86_400_000)
+    assert one(spark, D.new_date_time(iso, F.lit(1), "DAYS"), D.split_time(iso), D.format_date_time(iso, "yyyy-MM-dd HH:mm"), D.format_date_time(iso, "dd HH", "Asia/Tokyo")) == ("2024-01-02T00:00:00.000Z", [2024, 1, 1, 0, 0, 0, 0], "2024-01-01 00:00", "01 09")
+    assert one(spark, D.parse_date_time(F.lit("01.02.2024 03"), "dd.MM.yyyy HH"), D.parse_date_time(F.lit("2024-02-01 03:00 +0100"), "yyyy-MM-dd HH:mm Z"), D.parse_date_time(F.lit("2024/02"), "yyyy/MM[/dd]"), D.parse_unix_time(F.lit(1_500), "ms"), D.parse_unix_time(F.lit(2_000_000), "us")) == ("2024-02-01T03:00:00.000Z", "2024-02-01T02:00:00.000Z", "2024-02-01T00:00:00.000Z", "1970-01-01T00:00:01.500Z", "1970-01-01T00:00:02.000Z")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    assert one(spark, D.to_millis(at), D.to_millis(F.timestamp_millis(F.lit(77))), D.current_time("yyyy-MM-dd", at=iso)) == (1_704_067_200_000, 77, "2024-01-01")
+    with pytest.raises(Exception, match="not a time"):
+        one(spark, D.is_between(F.lit("bad"), iso, iso))
+
+
+def test_defaults_take_numbers_and_null_sides(spark):
+    nums, none = F.array(F.lit(1), F.lit(2), F.lit(1)), F.lit(None).cast("array<int>")
+    assert one(spark, S.eq(F.lit(1), F.lit(1)), S.is_nil(F.lit(0)), S.neq(F.lit(1.5), F.lit(2.5)), A.unique(nums), S.parse_num(F.lit("1e3"), strict=False), S.parse_num(F.lit("1234567890123.5"), strict=False), S.parse_num(F.lit("x"), strict=False)) == (True, False, True, [1, 2], 1000.0, 1234567890123.5, None)
+    assert one(spark, A.union(none, nums), A.union(nums, none), A.diff(nums, none), A.diff(nums, F.array(F.lit(2)))) == ([1, 2], [1, 2], [1, 2], [1])
+    assert one(spark, A.iterate(lambda a, b, c: F.coalesce(b, F.lit(0)) + a + c, nums, none, nums), A.iterate(lambda x: F.when(x > 1, F.lit("a")).otherwise(""), nums)) == ([2, 4, 2], ["a"])
+    assert one(spark, X.str_join("-", F.array(F.lit(1.0), F.lit(2.5))), X.json_path(F.lit('{"a.b": {"c\'d": 4}}'), "a.b", "c'd", to="int"), X.str_join("", X.extract_all(F.lit("hello"), r"(.)\1", 1, lambda g: g[1]))) == ("1-2.5", 4, "l")
+    assert one(spark, S.digest(F.lit(1)) != S.digest(F.lit("1")), S.digest(F.lit("")) == S.digest(null()), S.numbers(F.lit(2))) == (True, True, [0.0, 1.0])
+
+
+def test_writes_of_nothing_and_at_paths(spark):
+    from pyspark.sql import types as T
+
+    ints, text = T.ArrayType(T.IntegerType()), T.StringType()
+    none, some = F.lit(None).cast("array<int>"), F.array(F.lit(1))
+    assert one(spark, merge.written(none, F.lit(2), ints, T.IntegerType(), merge.APPEND), merge.written(none, some, ints, ints, merge.EXTEND), merge.written(some, none, ints, ints, merge.EXTEND)) == ([2], [1], [1])
+    root, kind = F.lit(None), T.NullType()
+    for path, mode in (("a.b[1].c", merge.MERGE), ("a.b[].c", merge.MERGE), ("a.b[0].d", merge.MERGE), ("a.b[1].c", merge.REPLACE)):
+        root, kind = merge.write_at(root, kind, path, F.lit(f"{path}{mode}"), text, mode)
+    got = one(spark, F.to_json(root), F.lit(0))[0]
+    assert got == '{"a":{"b":[{"d":"a.b[0].dmerge"},{"c":"a.b[1].creplace"},{"c":"a.b[].cmerge"}]}}'
+    root, kind = merge.write_at(F.struct(F.array(F.lit(1)).alias("l")), T.StructType.fromDDL("l array<int>"), "l[3]", F.lit(9), T.IntegerType())
+    assert one(spark, root["l"], F.lit(0))[0] == [1, None, None, 9]
+    assert merge.path_steps("a.b[0][].c") == ["a", "b", 0, None, "c"]
+    for bad in (".a", "a..b", "a[x]", "a]"):
+        with pytest.raises(ValueError):
+            merge.path_steps(bad)
+    with pytest.raises(TypeError):
+        merge.write_at(F.lit(1), T.IntegerType(), "a", F.lit(1), T.IntegerType())
+    slot = merge.merged_at(F.array(F.struct(F.lit(1).alias("a"))), F.struct(F.lit(2).alias("a")), 0, T.StructType.fromDDL("a int"), T.StructType.fromDDL("a int"))
+    assert one(spark, slot, F.lit(0))[0][0]["a"] == 2
+
+
+PRIMITIVES = [{"field": "system", "fieldType": "primitive"}, {"field": "value", "fieldType": "primitive"}]
+PAIR = {"fieldType": "container", "pathOperator": "AND", "paths": PRIMITIVES}
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"fieldType": "array", "paths": [PAIR]},
+        {"field": "identifier", "fieldType": "array"},
+        {"field": "identifier", "fieldType": "array", "paths": [{"fieldType": "container"}]},
+        {"field": "identifier", "fieldType": "array", "fieldFilter": ["x"], "paths": [PAIR]},
+        {"field": "identifier", "fieldType": "array", "paths": [PAIR | {"fieldFilter": ["x"]}]},
+        {"field": "identifier", "fieldType": "odd", "paths": [PAIR]},
+        {"field": "identifier", "fieldType": "array", "paths": [PAIR | {"pathOperator": "NOT"}]},
+        {"field": "identifier", "paths": [PAIR]},
+        {"field": "identifier", "fieldType": "array", "paths": [PAIR | {"paths": [PRIMITIVES[0] | {"fieldFilter": "ssn"}]}]},
+        {"field": "identifier", "fieldType": "array", "paths": PAIR},
+        {"field": "identifier", "fieldType": "array", "paths": ["no", "paths"]},
+        {"field": "identifier", "fieldType": "array", "paths": [PAIR | {"paths": [PRIMITIVES[0] | {"fieldFilter": [["x"]]}]}]},
+        {"field": "identifier", "fieldType": ["container"], "paths": [PAIR]},
+        {"field": "identifier", "fieldType": "array", "pathOperator": ["AND"], "paths": [PAIR]},
+        {"field": "identifier", "fieldType": "array", "paths": [PAIR | {"paths": [PRIMITIVES[0] | {"paths": PRIMITIVES}]}]},
+        {"field": "identifier", "fieldType": "array", "paths": [PAIR | {"paths": [{"fieldType": "primitive"}, PRIMITIVES[1]]}]},
+        {"field": 3, "fieldType": "primitive"},
+        "text",
+    ],
+)
+def test_malformed_criteria(bad):
+    with pytest.raises(ValueError):
+        linkage.criteria_from(bad)
+
+
+def test_criteria_against_the_type_of_records():
+    from pyspark.sql import types as T
+
+    texts = T.StructType.fromDDL("arrayField array<string>, containerField array<string>, name struct<given: array<string>>")
+    key = [{"field": "key", "fieldType": "primitive"}]
+    for bad in ({"field": "arrayField", "fieldType": "array", "paths": [{"fieldType": "container", "paths": key}]}, {"field": "arrayField", "fieldType": "array", "paths": key}, {"field": "containerField", "fieldType": "container", "paths": key}, {"field": "name", "fieldType": "container", "paths": [{"field": "given", "fieldType": "primitive"}]}):
+        with pytest.raises(TypeError):
+            linkage.check_criteria(linkage.criteria_from(bad), texts)
+    linkage.check_criteria(linkage.criteria_from({"field": "gone", "fieldType": "primitive"}), texts)
+    linkage.check_criteria(linkage.criteria_from({"field": "arrayField", "fieldType": "array", "paths": [{"fieldType": "primitive"}]}), texts)
+
+
+def test_linkage_of_text_keys_and_heavy_values(spark, monkeypatch):
+    from mapweave.operators import skew
+
+    monkeypatch.setattr(skew, "FEW", 3)
+    monkeypatch.setattr(skew, "HEAVY", 20)
+    rows = [(f"k{i:03}", ["all"] if i % 2 else [f"v{i}"]) for i in range(60)] + [(None, ["all"]), ("k000", ["v2"])]
+    got = {r["id"]: r["group"] for r in linkage.link_records(spark.createDataFrame(rows, "id string, vals array<string>"), "id", "vals").collect()}
+    assert got == {f"k{i:03}": "k001" if i % 2 else "k000" if i == 2 else f"k{i:03}" for i in range(60)}
+
+
+def test_join_by_key_of_heavy_and_light_keys(spark, monkeypatch):
+    from mapweave.operators import skew
+
+    monkeypatch.setattr(skew, "FEW", 2)
+    monkeypatch.setattr(skew, "HEAVY", 4)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 2 + [3, None])], "k int, i int")
+    keyed = rows.where("k is not null and k < 3").groupBy("k").agg(F.count("*").alias("n"))
+    assert sorted(r["i"] for r in skew.join_by_key(rows, keyed, ["k"], "n").collect()) == list(range(52))
+
+
+def test_unit_look_up_is_exact(spark):
+    table = [{"source_unit": ["A"], "dest_unit": "kg", "scalar": 2.0}, {"source_unit": ["A"], "code": "x", "dest_unit": "g", "scalar": 3.0}]
+    df = spark.createDataFrame([(1.0, "A", None), (1.0, "A", "x"), (1.0, "A", "y"), (None, "B", "")], "q double, u string, c string")
+    got = [(r["u"], r["c"], r["si_value"], r["si_unit"]) for r in terminology.harmonize_unit(df, table, F.col("q"), F.col("u"), F.col("c"), F.lit(""), 2).collect()]
+    assert sorted(got, key=str) == sorted([("A", None, 2.0, "kg"), ("A", "x", 3.0, "g"), ("A", "y", 1.0, "A"), ("B", "", None, "B")], key=str)
+
+
+def test_xml_and_documents_by_name(spark, tmp_path):
+    (tmp_path / "x.xml").write_text("<all><row id='1'><name>a</name></row><row id='2'><name>b</name></row></all>")
+    assert [tuple(r) for r in documents.read_xml(spark, str(tmp_path / "x.xml"), "row", "_id int, name string").collect()] == [(1, "a"), (2, "b")]
+    documents.write_each(spark.sql("select 'p' as file, struct(1 as a) as root union all select 'q', struct(2 as a)"), str(tmp_path / "each"), "file")
+    assert spark.read.text(str(tmp_path / "each" / "file=q")).first()[0] == '{"a":2}'
