@@ -8,9 +8,9 @@ earlier one, by document and line number, is near.
 
 Of each distinct line every variant with one unit (word or character) deleted becomes a hashed
 key, beside the key of the whole line; lines that share a variant with the same place deleted,
-or whose variant is another's whole, are near, which is then verified. One edit leaves two
-thirds of a line as they are: its first two, its last two, or its first and last. Lines that
-share none of these with another distinct line can't be near one and emit no variants.
+or whose variant is another's whole, are near, which is then verified. One edit leaves the
+first or the last half of a line as it is. Lines that share neither with another distinct line
+can't be near one and emit no variants.
 """
 
 from __future__ import annotations
@@ -78,23 +78,21 @@ class _Runs:
 
 
 def _parts(runs: _Runs, n: np.ndarray, kind: int) -> np.ndarray:
-    """(lines, 6) keys of two thirds of each line, as the shorter line of a pair and as the longer one."""
+    """(lines, 4) keys of the first and the last half of each line, as the shorter line of a pair and as the longer one."""
     end = np.cumsum(n)
     begin, out = end - n, []
     for c in (n, n - 1):  # units of the shorter line of the pair
-        third = np.maximum(c, 0) // 3
-        rest = np.maximum(c, 0) - third
-        salt = 6 * c + 3 * kind
-        ends = runs.of(begin, begin + third, salt) * MIX_1 + runs.of(end - third, end, salt)
-        out += [runs.of(begin, begin + rest, salt + 1), runs.of(end - rest, end, salt + 2), mixed(ends)]
-    return np.stack(out, 1).view(np.int64) if len(n) else np.empty((0, 6), np.int64)
+        half = np.maximum(c, 0) // 2
+        salt = 4 * c + 2 * kind
+        out += [runs.of(begin, begin + half, salt), runs.of(end - (np.maximum(c, 0) - half), end, salt + 1)]
+    return np.stack(out, 1).view(np.int64) if len(n) else np.empty((0, 4), np.int64)
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
     """(doc, line, n, h, again, parts) of every line of ``docs`` (doc, text) that has words.
 
     h: hash of the line; again: an equal line stands before it in the document; parts: keys of
-    two of its thirds, none of lines that only an equal one is near to.
+    its halves, none of lines that only an equal one is near to.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +123,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
                 if len(n):
                     again[np.unique(np.stack([doc, h, n], 1), axis=0, return_index=True)[1]] = False
                 none = alone | again
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(none, 0, 6))]), pa.int32()), pa.array(keys[~none].reshape(-1)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(none, 0, 4))]), pa.int32()), pa.array(keys[~none].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line, pa.int32()), pa.array(n.astype(np.int32)), pa.array(h), pa.array(again), lists], names=["doc", "line", "n", "h", "again", "parts"])
 
     return docs.mapInArrow(run, "doc long, line int, n int, h long, again boolean, parts array<long>")
@@ -220,11 +218,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     body = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     rows = settle(line_keys(body))
     new = rows.where(~F.col("again"))
-    first = settle(new.groupBy("h", "n").agg(F.min("doc").alias("d"), F.count("*").alias("c")))
-    placed = settle(join_by_key(new, first, ["h", "n"], "c").select("doc", "line", (F.col("doc") > F.col("d")).alias("copy"), F.when(F.col("doc") == F.col("d"), F.col("parts")).alias("parts")))
-    copies = placed.where("copy").select("doc", "line").unionByName(rows.where("again").select("doc", "line"))
+    first = new.groupBy("h", "n").agg(F.min(F.struct("doc", "line", "parts")).alias("f"), F.count("*").alias("c"))
+    first = settle(first.select("h", "n", "c", "f.doc", "f.line", F.array_distinct("f.parts").alias("parts")))
+    repeats = first.where("c > 1").select("h", "n", "c", F.col("doc").alias("d"))
+    copies = join_by_key(new.select("doc", "line", "h", "n"), repeats, ["h", "n"], "c").where("doc > d").select("doc", "line")
+    copies = copies.unionByName(rows.where("again").select("doc", "line"))
 
-    parts = placed.where("size(parts) > 0").select("doc", "line", F.explode(F.array_distinct("parts")).alias("part"))
+    parts = first.select("doc", "line", F.explode("parts").alias("part"))
     shared = settle(parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"))
     wanted = settle(join_by_key(parts, shared, ["part"], "n").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
     lines = settle(neighbourhoods(join_by_size(body, wanted, "doc", cells=F.size("wanted")).select("doc", "text", "wanted")))
