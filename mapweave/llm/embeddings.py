@@ -212,11 +212,15 @@ def degrees(rows: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """(a, b), once each, of rows (id, s1, s2, b, t1, t2) that differ in few sign bits."""
+def _close(met: DataFrame) -> DataFrame:
+    """The rows (id, s1, s2, b, t1, t2) of two vectors that differ in few sign bits, with ``differ``."""
     differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    fit = (F.col("id") != F.col("b")) & (differ <= MOST_DIFFERENT)
-    return met.where(fit).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    return met.withColumn("differ", differ).where((F.col("id") != F.col("b")) & (F.col("differ") <= MOST_DIFFERENT))
+
+
+def _pairs(close: DataFrame) -> DataFrame:
+    """(a, b), once each."""
+    return close.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
 def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -245,7 +249,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataF
         both = join_by_key(made, va, ["a"], "n").join(vectors.withColumnsRenamed({"id": "b", "v": "vb"}), "b")
         return settle(cosines(both.select("a", "b", "va", "vb")))
 
-    # crowded cells: every member with a few that are drawn by hash
+    # crowded cells: every member with the likeliest of a few that are drawn by hash
     drawn = F.struct(F.xxhash64("cell", "id").alias("draw"), "id", "s1", "s2")
     sizes = met.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= CROWDED)
     crowded = settle(sizes)
@@ -254,7 +258,8 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataF
     drawn = in_crowd.where("own").groupBy("cell", split.alias("k")).agg(F.min(drawn).alias("d")).groupBy("cell").agg(F.collect_list("d").alias("pivots"))
     pivots = settle(crowded.join(drawn, "cell"))
     stars = join_by_key(in_crowd.drop("n"), pivots, ["cell"], "n").select("id", "s1", "s2", F.explode("pivots").alias("d"))
-    links = confirmed(_pairs(stars.select("id", "s1", "s2", F.col("d.id").alias("b"), F.col("d.s1").alias("t1"), F.col("d.s2").alias("t2"))))
+    close = _close(stars.select("id", "s1", "s2", F.col("d.id").alias("b"), F.col("d.s1").alias("t1"), F.col("d.s2").alias("t2")))
+    links = confirmed(_pairs(close.groupBy("id").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))))
     found = settle(components(links))
 
     # the rest of a cell's pairs, of vectors that are not in one component yet
@@ -262,7 +267,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataF
     mine = placed.where("own").select("cell", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     once = ~F.col("own") | (F.col("id") < F.col("b"))
     rest = placed.join(mine, "cell").where(once & (F.col("c") != F.col("cb")))
-    links = settle(links.unionByName(confirmed(_pairs(rest))))
+    links = settle(links.unionByName(confirmed(_pairs(_close(rest)))))
     found = settle(components(links))
 
     sized = settle(found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"), F.count("*").alias("members")))
