@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_1, U64, WordHashes, join_by_key, join_by_size, mixed, numbered, settle, table, unused
+from .common import MIX_1, U64, WordHashes, join_by_key, join_by_size, mixed, settle, table, unused
 
 LEAST_WORDS, LEAST_CHARS = 8, 16
 WHOLE = -1
@@ -89,7 +89,7 @@ def _parts(runs: _Runs, n: np.ndarray, kind: int) -> np.ndarray:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(doc, line, n, h, again, parts) of every line of ``docs`` (doc, text) that has words.
+    """(o, doc, line, n, h, again, parts) of every line of ``docs`` (o, doc, text) that has words.
 
     h: hash of the line; again: an equal line stands before it in the document; parts: keys of
     its halves, none of lines that only an equal one is near to.
@@ -100,10 +100,11 @@ def line_keys(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                doc, line, n, words, points = [], [], [], [], []
-                for d, body in zip(part.column(0).to_pylist(), part.column(1)):
+                order, doc, line, n, words, points = [], [], [], [], [], []
+                for o, d, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     for i, w in enumerate(_lines(body.as_py())):
                         if w:
+                            order.append(o)
                             doc.append(d)
                             line.append(i)
                             n.append(len(w))
@@ -124,13 +125,13 @@ def line_keys(docs: DataFrame) -> DataFrame:
                     again[np.unique(np.stack([doc, h, n], 1), axis=0, return_index=True)[1]] = False
                 none = alone | again
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(none, 0, 4))]), pa.int32()), pa.array(keys[~none].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line, pa.int32()), pa.array(n.astype(np.int32)), pa.array(h), pa.array(again), lists], names=["doc", "line", "n", "h", "again", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(doc), pa.array(line, pa.int32()), pa.array(n.astype(np.int32)), pa.array(h), pa.array(again), lists], names=["o", "doc", "line", "n", "h", "again", "parts"])
 
-    return docs.mapInArrow(run, "doc long, line int, n int, h long, again boolean, parts array<long>")
+    return docs.mapInArrow(run, "o long, doc long, line int, n int, h long, again boolean, parts array<long>")
 
 
 def neighbourhoods(docs: DataFrame) -> DataFrame:
-    """(doc, line, words, keys) of the lines in ``wanted``; docs: (doc, text, wanted array<int>).
+    """(o, doc, line, words, keys) of the lines in ``wanted``; docs: (o, doc, text, wanted array<int>).
 
     keys: hash of each variant with one unit deleted, by its place, then of the whole.
     """
@@ -140,8 +141,8 @@ def neighbourhoods(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
-                out: list[list] = [[], [], [], []]
-                for d, body, wanted in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
+                out: list[list] = [[], [], [], [], []]
+                for o, d, body, wanted in zip(*(part.column(i).to_pylist() for i in (0, 1)), part.column(2), part.column(3).to_pylist()):
                     split = _lines(body.as_py())
                     for i in wanted:
                         w = split[i]
@@ -153,13 +154,12 @@ def neighbourhoods(docs: DataFrame) -> DataFrame:
                         sizes = np.array([2 * len(units) - 2 + kind, 2 * len(units) + kind], U64) * MIX_1
                         gone = mixed(total[:-1] + (total[-1] - total[1:]) * INVERSE + sizes[0])
                         key = np.concatenate([gone, mixed(total[-1:] + sizes[1])]).view(np.int64)
-                        out[0].append(d)
-                        out[1].append(i)
-                        out[2].append(whole)
-                        out[3].append(key)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], names=["doc", "line", "words", "keys"])
+                        for column, value in zip(out, (o, d, i, whole, key)):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["o", "doc", "line", "words", "keys"])
 
-    return docs.mapInArrow(run, "doc long, line int, words binary, keys array<long>")
+    return docs.mapInArrow(run, "o long, doc long, line int, words binary, keys array<long>")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -183,9 +183,9 @@ def _with_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _near_ones(lines: DataFrame) -> DataFrame:
-    """(doc, line) of the written ``lines`` (doc, line, words, keys) to which an earlier one is near."""
-    keys = lines.select("doc", "line", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "key"))
-    keys = keys.select("key", F.when(F.col("at") == F.col("n") - 1, WHOLE).otherwise(F.col("at")).alias("at"), F.struct("doc", "line").alias("here"))
+    """(doc, line) of the written ``lines`` (o, doc, line, words, keys) to which an earlier one is near."""
+    keys = lines.select("o", "doc", "line", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "key"))
+    keys = keys.select("key", F.when(F.col("at") == F.col("n") - 1, WHOLE).otherwise(F.col("at")).alias("at"), F.struct("o", "doc", "line").alias("here"))
     shared = settle(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     rows = settle(join_by_key(keys, shared, ["key"], "n").drop("n"))
     whole, cut = (F.min(F.when(c, F.col("here"))) for c in (F.col("at") == WHOLE, F.col("at") != WHOLE))
@@ -208,26 +208,27 @@ def _near_ones(lines: DataFrame) -> DataFrame:
     return found.unionByName(_verified(_with_words(more, words)).where("good").select("doc", "line"))
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
     """(doc, lines): the numbers of the lines that go, for each document that loses any.
 
-    ``key``: a long of its own for each row, by which documents are earlier or later (``dedup``
-    makes one). Null and empty texts have no lines; ties in a document's lines are kept by line
-    number.
+    ``key``: a long of its own for each row (``dedup`` makes one). Documents are earlier by
+    ``order``, a long, nulls last together with the largest one, and then by ``key``. Null and
+    empty texts have no lines; ties in a document's lines are kept by line number.
     """
-    body = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    first = F.coalesce(F.col(f"`{order or key}`").cast("long"), F.lit((1 << 63) - 1))
+    body = docs.select(first.alias("o"), F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     rows = settle(line_keys(body))
     new = rows.where(~F.col("again"))
-    first = new.groupBy("h", "n").agg(F.min(F.struct("doc", "line", "parts")).alias("f"), F.count("*").alias("c"))
-    first = settle(first.select("h", "n", "c", "f.doc", "f.line", F.array_distinct("f.parts").alias("parts")))
-    repeats = first.where("c > 1").select("h", "n", "c", F.col("doc").alias("d"))
-    copies = join_by_key(new.select("doc", "line", "h", "n"), repeats, ["h", "n"], "c").where("doc > d").select("doc", "line")
+    first = new.groupBy("h", "n").agg(F.min(F.struct("o", "doc", "line", "parts")).alias("f"), F.count("*").alias("c"))
+    first = settle(first.select("h", "n", "c", "f.o", "f.doc", "f.line", F.array_distinct("f.parts").alias("parts")))
+    repeats = first.where("c > 1").select("h", "n", "c", F.struct("o", "doc").alias("d"))
+    copies = join_by_key(new.select("o", "doc", "line", "h", "n"), repeats, ["h", "n"], "c").where(F.struct("o", "doc") > F.col("d")).select("doc", "line")
     copies = copies.unionByName(rows.where("again").select("doc", "line"))
 
     parts = first.select("doc", "line", F.explode("parts").alias("part"))
     shared = settle(parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"))
     wanted = settle(join_by_key(parts, shared, ["part"], "n").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("wanted")))
-    lines = settle(neighbourhoods(join_by_size(body, wanted, "doc", cells=F.size("wanted")).select("doc", "text", "wanted")))
+    lines = settle(neighbourhoods(join_by_size(body, wanted, "doc", cells=F.size("wanted")).select("o", "doc", "text", "wanted")))
     both = copies.unionByName(_near_ones(lines)).distinct()
     return both.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
@@ -242,9 +243,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     kept = [c for c in docs.columns if c != "n_lines_gone"]
     row, out = unused(docs, "__row"), unused(docs, "__lines")
-    own = numbered(docs.select(*[F.col(f"`{c}`") for c in kept]), key, row)
-    gone = settle(repeated(own, row, text).select(F.col("doc").alias(row), F.col("lines").alias(out)))
-    met = join_by_size(own, gone, row, "left", cells=F.size(out))
+    own = settle(docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(row)))
+    gone = settle(repeated(own, row, text, key).select(F.col("doc").alias(row), F.col("lines").alias(out)))
+    met = own.join(gone.hint("merge"), row, "left")
     split = F.split(F.col(f"`{text}`"), "\n", -1)
     left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(out, i), x)), lambda x: x.isNotNull()), "\n")
     new = F.when(F.col(out).isNull(), F.col(f"`{text}`")).otherwise(left).alias(text)
