@@ -120,7 +120,7 @@ def compressors(model: Model) -> list:
             content = form(content)
             size = len(content).bit_length()
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=least, window_log=max(14, size + 1), chain_log=max(log, size), hash_log=max(log, size), search_log=5, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=least, window_log=max(14, size + 1), chain_log=max(log, size), hash_log=max(log, size), search_log=4, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
             dictionary.precompute_compress(compression_params=how)
             made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress)
     return made
@@ -184,7 +184,8 @@ def measured(model: Model, split: list[tuple[list[bytes], int]]) -> np.ndarray:
 
 def train(samples: list[tuple[str, int]], prior: float) -> Model:
     """A model of (text, label) pairs; ``prior``: share of label 1 among all rows to learn from."""
-    split = [(words(t), y) for t, y in samples]
+    held: dict[bytes, bytes] = {}  # each word once, however many texts have it
+    split = [([held.setdefault(w, w) for w in words(t)], y) for t, y in samples]
     n = Counter(y for _, y in split)
     if not n[0] or not n[1]:
         return Model(b"", b"", b"", np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), min(max(prior, 0.0), 1.0))
