@@ -5,7 +5,8 @@ read again as the next stage's docs. All but the last return the columns of ``do
 others beside them too, whatever their names. In every stage rows are documents of their own,
 also if their doc_id is null or stands on several rows; "earlier" is by doc_id, nulls last, and
 then in the order of reading; null texts count as empty; long texts are read whole; an empty
-table gives no rows.
+table gives no rows. What a stage returns reads at most two tables that it has written, the rows
+under numbers of their own and what happens to these numbers; all others are gone by then.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import lines, mixing, near_dups, packing, toxicity
-from mapweave.llm.common import numbered, settle, table, unused
-from mapweave.session import ship
+from mapweave.llm.common import numbered, settle, settle_last, table, unused
+from mapweave.session import discard, ship
 
 
 def _all(docs: DataFrame) -> list[Column]:
@@ -52,8 +53,8 @@ def drop_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     row = unused(docs, "__row")
     rows = numbered(docs, "doc_id", row)
-    gone = near_dups.link(rows, row).where("not kept").select(row)
-    return rows.join(gone, row, "left_anti").select(*_all(docs))
+    gone = settle_last(lambda: near_dups.link(rows, row).where("not kept").select(row))
+    return rows.join(gone.hint("merge"), row, "left_anti").select(*_all(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +66,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row, n = unused(docs, "__row"), unused(docs, "__copies")
     rows = settle(docs.withColumn(row, F.monotonically_increasing_id()))
     sized = rows.select(row, "doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    copies = mixing.mix(sized, row, "source", "size", chosen_by="doc_id").where("copies > 0").select(row, F.col("copies").alias(n))
-    met = rows.join(copies, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(n))))
+    copies = settle_last(lambda: mixing.mix(sized, row, "source", "size", chosen_by="doc_id").where("copies > 0").select(row, F.col("copies").alias(n)))
+    met = rows.join(copies.hint("merge"), row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(n))))
     return met.select(*_all(docs))
 
 
@@ -91,5 +92,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        before, docs = docs, settle_last(lambda: stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

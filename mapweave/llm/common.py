@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators.skew import join_by_key  # noqa: F401
-from ..session import discard, settle
+from ..session import discard, settle, settle_last  # noqa: F401
 
 #: Buckets that each group is dealt into before its rows are numbered.
 RANK_BUCKETS = 1024

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_1, U64, WordHashes, join_by_key, join_by_size, mixed, settle, table, unused
+from .common import MIX_1, U64, WordHashes, join_by_key, join_by_size, mixed, settle, settle_last, table, unused
 
 LEAST_WORDS, LEAST_CHARS = 8, 16
 WHOLE = -1
@@ -244,7 +244,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kept = [c for c in docs.columns if c != "n_lines_gone"]
     row, out = unused(docs, "__row"), unused(docs, "__lines")
     own = settle(docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(row)))
-    gone = settle(repeated(own, row, text, key).select(F.col("doc").alias(row), F.col("lines").alias(out)))
+    gone = settle_last(lambda: repeated(own, row, text, key).select(F.col("doc").alias(row), F.col("lines").alias(out)))
     met = own.join(gone.hint("merge"), row, "left")
     split = F.split(F.col(f"`{text}`"), "\n", -1)
     left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(out, i), x)), lambda x: x.isNotNull()), "\n")

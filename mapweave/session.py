@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 #: Application id -> folder of its intermediate tables.
 _folders: dict[str, str] = {}
+#: Paths of the tables settled since the innermost ``settle_last`` began.
+_on_the_way: ContextVar[list[str] | None] = ContextVar("on_the_way", default=None)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -74,9 +78,26 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._settled_at = path
+    if (paths := _on_the_way.get()) is not None:
+        paths.append(path)
     return made
 
 
+def settle_last(make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` as a settled table; all tables settled on the way to it go then, so nothing else may read them."""
+    outer = _on_the_way.set([])
+    try:
+        last = settle(make())
+        paths = _on_the_way.get()
+    finally:
+        _on_the_way.reset(outer)
+    for path in paths[:-1]:
+        _delete(last.sparkSession, path)
+    if (before := _on_the_way.get()) is not None:
+        before.append(paths[-1])
+    return last
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a settled table that nothing reads any more."""
     path = getattr(df, "_settled_at", None)

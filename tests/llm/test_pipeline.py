@@ -1,5 +1,6 @@
 """The stages of the corpus pipeline, each against its predecessor's rows."""
 
+import os
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from mapweave.llm import packing
 from mapweave.llm.common import settle
+from mapweave.session import settle_last, shared_dir
 
 from .test_corpus_ops import check_packing
 from .test_similarity import brute_lines, brute_near
@@ -86,3 +88,40 @@ def test_awkward_rows(spark):
     mixed = rows(P.mix_sources(spark, docs, SF))
     assert all(n <= 2 * have[k] for k, n in mixed.items())
     assert P.pack_tokens(spark, docs, SF).where("start = 0").count() == len(some) and P.pack_tokens(spark, docs.limit(0), SF).count() == 0
+
+
+def tables(spark):
+    return set(os.listdir(shared_dir(spark).removeprefix("file://")))
+
+
+def test_tables_left(spark):
+    """A stage leaves two tables at most, the rows and what happens to them, a run those that its result reads."""
+    docs = settle(spark.read.parquet(f"{SF}/documents.parquet"))
+    for name, stage in P.STAGES[:-1]:
+        before = tables(spark)
+        done = stage(spark, docs, SF)
+        assert len(tables(spark) - before) <= 2, name
+        docs = settle(done)
+    before = tables(spark)
+    packed = P.run(spark, SF)
+    assert len(tables(spark) - before) <= 2 and packed.count() == P.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_settle_last(spark):
+    """Tables on the way go, those of inner calls with them; others stay."""
+    mine, before = settle(spark.range(3)), tables(spark)
+
+    def made():
+        inner = settle_last(lambda: settle(mine).where("id > 0"))
+        assert len(tables(spark) - before) == 1
+        return settle(inner.unionByName(mine))
+
+    last = settle_last(made)
+    assert len(tables(spark) - before) == 1 and tables(spark) >= before
+    assert sorted(r["id"] for r in last.collect()) == [0, 1, 1, 2, 2]
+    try:
+        settle_last(lambda: settle(spark.range(1)).select("none"))
+    except Exception:
+        pass
+    kept = settle(spark.range(5))
+    assert kept.count() == 5 and mine.count() == 3 and last.count() == 5
