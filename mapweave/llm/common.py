@@ -140,6 +140,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Bytes of a word that are hashed eight at a time; longer words go through xxHash.
+WORD_BYTES = 64
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words ``raw[start:end]``; at least 7 bytes follow the last word in ``raw``."""
+    size = end - start
+    eight = np.ndarray(max(len(raw) - 7, 0), "<u8", raw, strides=(1,))
+    out = mixed(size.astype(U64) * MIX_1)
+    now = np.arange(len(size))
+    for i in range(0, WORD_BYTES, 8):
+        if i:
+            now = now[size[now] > i]
+        if not len(now):
+            break
+        out[now] = mixed(out[now] + (eight[start[now] + i] & _FIRST_BYTES[np.minimum(size[now] - i, 8)]))
+    for i in np.flatnonzero(size > WORD_BYTES):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return out
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``width`` words; of the whole sequence if it is shorter."""
     if not len(words):

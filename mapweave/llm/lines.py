@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_1, U64, WordHashes, join_by_key, join_by_size, mixed, settle, settle_last, table, unused
+from .common import MIX_1, U64, WordHashes, hashed, join_by_key, join_by_size, mixed, settle, settle_last, table, unused
 
 LEAST_WORDS, LEAST_CHARS = 8, 16
 WHOLE = -1
+#: Whether a byte is ASCII white space.
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
 
 #: Base of the rolling hash of unit sequences, odd, and its inverse modulo 2**64.
 BASE = U64(0xD6E8FEB86659FD93)
@@ -60,8 +62,29 @@ def _lines(text: str | None) -> list[list[bytes]]:
     return [x.split() for x in (text or "").encode().split(b"\n")]
 
 
+def _split(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """(bytes, starts of words, their ends, lines, text, line) of UTF-8 texts.
+
+    Line i, the ``line``-th of the ``text``-th, has the words from ``lines[i]`` to before
+    ``lines[i + 1]``; lines without words are left out.
+    """
+    body = [x or b"" for x in texts]
+    raw = np.frombuffer(b"\n" + b"\n".join(body) + b"\n" * 8, np.uint8)
+    edge = np.flatnonzero(np.diff(SPACE[raw].view(np.int8))) + 1
+    start, end = edge[::2], edge[1::2]
+    # each text begins after a line break of its own, at the end of the text before or at the front
+    begin = np.cumsum([1, *(len(x) + 1 for x in body)])
+    breaks = np.flatnonzero(raw[: begin[-1]] == ord("\n"))
+    lines = np.searchsorted(start, breaks)
+    first = np.searchsorted(breaks, begin - 1)
+    text = np.repeat(np.arange(len(body)), np.diff(first))
+    line = np.arange(len(text)) - first[text]
+    some = np.diff(lines) > 0
+    return raw, start, end, np.append(lines[:-1][some], lines[-1]), text[some], line[some]
+
+
 def _points(line: bytes) -> np.ndarray:
-    """The characters of a line as hashes."""
+    """The characters of lines as hashes."""
     return mixed(np.frombuffer(line.decode().encode("utf-32-le"), "<u4").astype(U64) * MIX_1)
 
 
@@ -96,36 +119,28 @@ def line_keys(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                order, doc, line, n, words, points = [], [], [], [], [], []
-                for o, d, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    for i, w in enumerate(_lines(body.as_py())):
-                        if w:
-                            order.append(o)
-                            doc.append(d)
-                            line.append(i)
-                            n.append(len(w))
-                            words += w
-                            if len(w) < LEAST_WORDS:
-                                points.append(_points(b" ".join(w)))
-                n, doc = np.array(n, np.int64), np.array(doc, np.int64)
-                end = np.cumsum(n)
-                by_words = _Runs(hashes.of(words))
-                h = by_words.of(end - n, end, n).view(np.int64)
+                raw, start, end, lines, doc, line = _split(part.column(2).cast(pa.large_binary()).to_pylist())
+                n = np.diff(lines)
+                by_words = _Runs(hashed(raw, start, end))
+                h = by_words.of(lines[:-1], lines[1:], n).view(np.int64)
                 keys = _parts(by_words, n, 0)
-                short, size = n < LEAST_WORDS, np.array([len(p) for p in points], np.int64)
-                keys[short] = _parts(_Runs(np.concatenate(points) if points else np.empty(0, U64)), size, 1)
+                short = n < LEAST_WORDS
+                whole = [b" ".join(raw[start[i] : end[j - 1]].tobytes().split()) for i, j in zip(lines[:-1][short], lines[1:][short])]
+                size = np.array([len(w.decode()) for w in whole], np.int64)
+                keys[short] = _parts(_Runs(_points(b"".join(whole))), size, 1)
                 alone = np.zeros(len(n), bool)
                 alone[short] = size < LEAST_CHARS
-                again = np.ones(len(n), bool)
-                if len(n):
-                    again[np.unique(np.stack([doc, h, n], 1), axis=0, return_index=True)[1]] = False
+                by = np.lexsort((n, h, doc))
+                same = (doc[by][1:] == doc[by][:-1]) & (h[by][1:] == h[by][:-1]) & (n[by][1:] == n[by][:-1])
+                again = np.zeros(len(n), bool)
+                again[by[1:][same]] = True
                 none = alone | again
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(none, 0, 4))]), pa.int32()), pa.array(keys[~none].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(doc), pa.array(line, pa.int32()), pa.array(n.astype(np.int32)), pa.array(h), pa.array(again), lists], names=["o", "doc", "line", "n", "h", "again", "parts"])
+                row = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h), pa.array(again), lists], names=["o", "doc", "line", "n", "h", "again", "parts"])
 
     return docs.mapInArrow(run, "o long, doc long, line int, n int, h long, again boolean, parts array<long>")
 

@@ -1,8 +1,10 @@
 """Near-duplicate operators against brute force."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mapweave.llm import embeddings, lines, near_dups
@@ -271,3 +273,48 @@ def test_embedding_keys(spark):
     df = spark.createDataFrame([(None, a), (None, a), (3, a), (3, b), (None, b), (None, c), (None, None), (8, [0.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, embeddings.link(df).collect()), key=str)
     assert got == sorted([(None, 2, 3, False), (None, 2, 3, False), (3, 2, 3, True), (3, 1, 3, True), (None, 1, 3, False), (None, 0, None, True), (None, 0, None, True), (8, 0, 8, True)], key=str)
+
+
+def line_rows(texts):
+    """The rows of ``lines.line_keys`` over ``texts``, without Spark, and the CPU seconds they took."""
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    number = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([number, number, pa.array(texts, pa.string())], names=["o", "doc", "text"])
+    began = time.process_time()
+    made = list(lines.line_keys(Frame())(iter([batch])))
+    return pa.Table.from_batches(made).to_pylist(), time.process_time() - began
+
+
+def test_line_keys_odd_bytes():
+    """Every line with words, whatever its bytes; equal ones, and only those, share a hash."""
+    rng = random.Random(9)
+    words = ["ab", "é𝄞", "\x00", "\x00\x00", "\x1c", "\x85x", "twelve-bytes", "twelve-bytez", "y" * 64, "z" * 65, "z" * 66, "u" * 300]
+    texts = [None, "", "\n", " \t\n\v\f\r", "a", "\na\nb b\n\na", *("".join(rng.choice([*words, " ", "  ", "\n", "\t"]) for _ in range(rng.randrange(120))) for _ in range(400))]
+    want, seen = [], set()
+    for d, t in enumerate(texts):
+        for i, x in enumerate((t or "").encode().split(b"\n")):
+            if w := tuple(x.split()):
+                want.append((d, i, len(w), w, (d, w) in seen))
+                seen.add((d, w))
+    got, _ = line_rows(texts)
+    assert [(r["doc"], r["line"], r["n"], r["again"]) for r in got] == [(d, i, n, again) for d, i, n, _, again in want]
+    pairs = {(w, (r["h"], r["n"])) for (*_, w, _), r in zip(want, got)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_line_keys_cpu():
+    """Rare words cost no Python call each: keys take a few times the CPU of splitting the text."""
+    rng = random.Random(2)
+    texts = ["\n".join(" ".join(f"{rng.getrandbits(40):x}" for _ in range(40)) for _ in range(10)) for _ in range(1000)]
+    line_rows(texts[:10])
+    took = min(line_rows(texts)[1] for _ in range(3))
+    split = []
+    for _ in range(3):
+        began = time.process_time()
+        [x.split() for t in texts for x in t.encode().split(b"\n")]
+        split.append(time.process_time() - began)
+    assert took < 6 * min(split), (took, split)
