@@ -19,8 +19,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ PLAIN_WINDOW, WIDE_WINDOW = 8, 6
 PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS = (3, 5), (4, 6), -2
 WIDE_SHARES, WIDE_STEPS, WIDE_LOSS = (), (4, 7, 10, 13), -4
 N_FEATURES = 36
+#: Texts whose windows are compressed in one call.
+TEXTS = 64
 #: Ends a dictionary, whose last bytes zstandard doesn't index, and a wide window, in whose last it starts no match.
 END = b"\n" * 16
 FLIPPED = bytes(i ^ 128 for i in range(256))
@@ -71,7 +74,7 @@ def segments(text_words: list[bytes]) -> set[bytes]:
     out: set[bytes] = set()
     for w in set(text_words):
         w = b" " + w + b" "
-        out.update(w[:k] for k in range(4, min(len(w), 12) + 1))
+        out.update([w[:k] for k in range(4, min(len(w), 12) + 1)])
         out.add(w)
     return out
 
@@ -122,55 +125,127 @@ def compressors(model: Model) -> list:
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=least, window_log=max(14, size + 1), chain_log=max(log, size), hash_log=max(log, size), search_log=4, target_length=8, write_content_size=False, write_checksum=False, write_dict_id=False)
             dictionary.precompute_compress(compression_params=how)
-            made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress)
+            made.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how))
     return made
 
 
-def savings(saved: np.ndarray, shares: tuple, steps: tuple, loss: int) -> list[float]:
+def sizes(how: zstandard.ZstdCompressor, found: list[bytes]) -> np.ndarray:
+    """Bytes to which each window compresses."""
+    if not found:
+        return np.zeros(0, np.int64)
+    done = how.multi_compress_to_buffer(found, threads=1)
+    return np.fromiter((len(done[i]) for i in range(len(done))), np.int64, len(found))
+
+
+def savings(saved: np.ndarray, n: np.ndarray, shares: tuple, steps: tuple, loss: int) -> np.ndarray:
+    """A row of features for each document; ``saved``: by each window, ``n`` of them a document."""
     saved = np.maximum(saved, loss)
-    top = np.sort(saved)[::-1]
-    part = [(saved >= x).mean() for x in shares]
-    reached = [math.log1p((saved >= x).sum()) for x in steps]
-    return [top[0], top[:3].mean(), top[:8].mean(), saved.mean(), *part, *reached, math.log(len(saved))]
+    first = np.cumsum(n) - n
+    top = saved[np.lexsort((-saved, np.repeat(np.arange(len(n)), n)))]
+    total = np.concatenate([[0], np.cumsum(top)])
+    mean = lambda most: (total[first + np.minimum(n, most)] - total[first]) / np.minimum(n, most)
+    reach = lambda x: np.add.reduceat(saved >= x, first, dtype=np.int64)
+    part = [reach(x) / n for x in shares]
+    reached = [np.log1p(reach(x)) for x in steps]
+    return np.stack([top[first], mean(3), mean(8), mean(len(saved)), *part, *reached, np.log(n)], 1)
+
+
+def all_features(texts: Iterable[list[bytes]], *made) -> np.ndarray:
+    """(texts, N_FEATURES) savings by ``compressors``: plain by strong segments and by all, then wide by the same.
+
+    The windows of up to ``TEXTS`` texts are compressed in one call.
+    """
+    out, texts = [np.zeros((0, N_FEATURES))], iter(texts)
+    while some := [*islice(texts, TEXTS)]:
+        row: list[np.ndarray] = []
+        for width, (strong, toxic, ordinary), how in ((PLAIN_WINDOW, made[:3], (PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS)), (WIDE_WINDOW, made[3:], (WIDE_SHARES, WIDE_STEPS, WIDE_LOSS))):
+            cut = [windows(w, width) for w in some]
+            n = np.array([len(x) for x in cut])
+            found = [w for x in cut for w in x]
+            if width == WIDE_WINDOW:
+                whole, end = widened(b"".join(found)), 2 * np.cumsum([len(w) for w in found])
+                found = [whole[i:j] + END for i, j in pairwise([0, *end.tolist()])]
+            size = sizes(ordinary, found)
+            full = size - sizes(toxic, found)
+            sure = full.copy()
+            asked = np.flatnonzero(full > 0)
+            sure[asked] = size[asked] - sizes(strong, [found[i] for i in asked])
+            row += [savings(sure, n, *how), savings(full, n, *how)]
+        out.append(np.concatenate(row, 1))
+    return np.concatenate(out)
 
 
 def features(text_words: list[bytes], *made) -> list[float]:
-    """Savings by ``compressors``: plain by strong segments and by all, then wide by the same."""
-    plain = windows(text_words, PLAIN_WINDOW)
-    wide = [widened(w) + END for w in windows(text_words, WIDE_WINDOW)]
-    out: list[float] = []
-    for found, (strong, toxic, ordinary), how in ((plain, made[:3], (PLAIN_SHARES, PLAIN_STEPS, PLAIN_LOSS)), (wide, made[3:], (WIDE_SHARES, WIDE_STEPS, WIDE_LOSS))):
-        full, sure = [], []
-        for w in found:
-            size = len(ordinary(w))
-            full.append(size - len(toxic(w)))
-            sure.append(size - len(strong(w)) if full[-1] > 0 else full[-1])
-        out += savings(np.array(sure), *how) + savings(np.array(full), *how)
-    return out
+    """The features of one text."""
+    return all_features([text_words], *made)[0].tolist()
 
 
-def dictionaries(split: list[tuple[list[bytes], int]]) -> Model:
-    """An uncalibrated model of (words, label) pairs."""
-    n = Counter(y for _, y in split)
-    seen, other_seen, frequent = Counter(), Counter(), Counter()
-    for w, y in split:
-        if y:
-            seen.update(segments(w))
-        frequent.update({b" " + x + b" " for x in w})
-    seen = Counter({s: c for s, c in seen.items() if c >= 3})
+@dataclass
+class Counts:
+    """Of some labelled documents: how many there are by label, and how many have a segment or word."""
+
+    labels: Counter
+    toxic: Counter
+    ordinary: Counter
+    words: Counter
+    toxic_texts: list[list[bytes]]
+
+
+def counted(split: list[tuple[list[bytes], int]], often: dict[bytes, bytes]) -> Counts:
+    """Counts of (words, label) pairs; of segments, those in ``often``."""
+    c = Counts(Counter(y for _, y in split), Counter(), Counter(), Counter(), [w for w, y in split if y])
     for w, y in split:
-        if not y:
-            other_seen.update(s for s in segments(w) if s in seen)
+        (c.toxic if y else c.ordinary).update([often[s] for s in segments(w) if s in often])
+        c.words.update(set(w))
+    return c
+
+
+def frequent_segments(texts: list[list[bytes]]) -> dict[bytes, bytes]:
+    """Segments of three texts or more, each with itself."""
+    seen: Counter = Counter()
+    for w in texts:
+        seen.update(segments(w))
+    return {s: s for s, c in seen.items() if c >= 3}
+
+
+def added(counters: list[Counter]) -> Counter:
+    out: Counter = Counter()
+    for c in counters:
+        out.update(c)
+    return out
+
+
+def by_frequency(counts: Counter) -> Iterator[bytes]:
+    """Words with a space on each side, by falling counts; rare ones are sorted only if they are reached."""
+    for rare in (False, True):
+        found = sorted(((-c, x + b" ") for x, c in counts.items() if (c < 3) == rare))
+        yield from (b" " + x for _, x in found)
+
+
+def dictionaries(parts: list[Counts], inside: dict[bytes, list[bytes]]) -> Model:
+    """An uncalibrated model of the documents counted in ``parts``; ``inside``: frequent segments of each toxic word."""
+    n = added([c.labels for c in parts])
+    seen = Counter({s: x for s, x in added([c.toxic for c in parts]).items() if x >= 3})
+    other_seen, frequent = added([c.ordinary for c in parts]), added([c.words for c in parts])
     likely = {s for _, _, s in evidence(seen, other_seen, n[1], n[0], len(seen))}
-    beside = {(s, after) for w, y in split if y for x, after in zip(w, [*w[1:], b""]) for s in segments([x]) if s in likely}
+    held: dict[bytes, list[bytes]] = {}  # likely segments of each word
+    beside = set()
+    for w in (w for c in parts for w in c.toxic_texts):
+        for x, after in zip(w, [*w[1:], b""]):
+            if (found := held.get(x)) is None:
+                found = held[x] = [s for s in inside[x] if s in likely]
+            for s in found:
+                beside.add((s, after))
     # copies of a text say a word again with the same word after it, which is no more evidence
     apart = Counter(s for s, _ in beside)
     strong, weak = distinctive(evidence(Counter({s: min(seen[s], apart[s]) for s in likely}), other_seen, n[1], n[0], len(seen)))
     toxic = (*strong, *weak)
-    common = [w for w, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0])) if not w.startswith(toxic)]
-    base, rest = b"".join(common[:BASE_WORDS][::-1]), b"".join(common[BASE_WORDS:])
     far, near = b"".join(weak[::-1]), b"".join(strong[::-1])
+    common = (w for w in by_frequency(frequent) if not w.startswith(toxic))
+    base, rest = b"".join([*islice(common, BASE_WORDS)][::-1]), b""
     # ordinary words at the places of the toxic segments
+    while len(rest) < len(far) + len(near) and (more := b"".join(islice(common, 100))):
+        rest += more
     rest += b" " * (len(far) + len(near))
     other_near, other_far = rest[: len(near)], rest[len(near) : len(near) + len(far)]
     zero = np.zeros(N_FEATURES)
@@ -178,8 +253,7 @@ def dictionaries(split: list[tuple[list[bytes], int]]) -> Model:
 
 
 def measured(model: Model, split: list[tuple[list[bytes], int]]) -> np.ndarray:
-    made = compressors(model)
-    return np.array([features(w, *made) for w, _ in split], float).reshape(-1, N_FEATURES)
+    return all_features([w for w, _ in split], *compressors(model))
 
 
 def train(samples: list[tuple[str, int]], prior: float) -> Model:
@@ -192,9 +266,13 @@ def train(samples: list[tuple[str, int]], prior: float) -> Model:
     # equal texts are in one part
     part = np.array([zlib.crc32(t.encode()) % FOLDS for t, _ in samples])
     x = np.zeros((len(split), N_FEATURES))
-    for k in np.unique(part):
-        x[part == k] = measured(dictionaries([s for s, p in zip(split, part) if p != k]), [s for s, p in zip(split, part) if p == k])
-    model = dictionaries(split)
+    often = frequent_segments([w for w, y in split if y])
+    inside = {x: [often[s] for s in segments([x]) if s in often] for x in {x for w, y in split if y for x in w}}
+    in_part = {k: [s for s, p in zip(split, part) if p == k] for k in np.unique(part)}
+    counts = {k: counted(of, often) for k, of in in_part.items()}
+    for k, of in in_part.items():
+        x[part == k] = measured(dictionaries([c for j, c in counts.items() if j != k], inside), of)
+    model = dictionaries([*counts.values()], inside)
     y = np.array([y for _, y in split], float)
     model.mean, model.sd = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - model.mean) / model.sd, np.ones(len(x))]
@@ -245,7 +323,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         pair = compressors(model) if model.constant is None else None
         for batch in batches:
             if pair:
-                x = np.array([features(words(t.as_py() or ""), *pair) for t in batch.column(at)], float).reshape(-1, len(model.mean))
+                x = all_features((words(t.as_py() or "") for t in batch.column(at)), *pair)
                 linear = ((x - model.mean) / model.sd) @ model.weights[:-1] + model.weights[-1]
                 p = 1 / (1 + np.exp(-np.clip(linear, -30, 30)))
             else:

@@ -252,6 +252,41 @@ def test_toxicity_keeps_rare_vocabulary():
     assert found[:40].mean() > 0.9 and found[40:].mean() < 0.05, found
 
 
+def plain_features(text_words, *made):
+    """The features of one text, window by window."""
+    size = lambda how, w: len(how.compress(w))
+    out = []
+    plain = [toxicity.windows(text_words, toxicity.PLAIN_WINDOW), made[:3], toxicity.PLAIN_SHARES, toxicity.PLAIN_STEPS, toxicity.PLAIN_LOSS]
+    wide = [[toxicity.widened(w) + toxicity.END for w in toxicity.windows(text_words, toxicity.WIDE_WINDOW)], made[3:], toxicity.WIDE_SHARES, toxicity.WIDE_STEPS, toxicity.WIDE_LOSS]
+    for found, (strong, toxic, ordinary), shares, steps, loss in (plain, wide):
+        full = [size(ordinary, w) - size(toxic, w) for w in found]
+        for saved in ([size(ordinary, w) - size(strong, w) if x > 0 else x for w, x in zip(found, full)], full):
+            top = np.sort(np.maximum(saved, loss))[::-1]
+            out += [top[0], top[:3].mean(), top[:8].mean(), top.mean(), *((top >= x).mean() for x in shares), *(np.log1p((top >= x).sum()) for x in steps), np.log(len(top))]
+    return out
+
+
+def test_toxicity_windows_of_many_texts_in_one_call():
+    """Each text's features are those of its windows one by one, and no window costs a Python call of its own."""
+    rng = np.random.default_rng(8)
+    calm = ["née", *(f"calm{i}" for i in range(300))]
+    text = lambda n, *more: " ".join(rng.permutation([*rng.choice(calm, n), *more]))
+    model = toxicity.train([(text(30, "grobak", "grobak"), 1) for _ in range(60)] + [(text(30), 0) for _ in range(90)], 0.4)
+    made = toxicity.compressors(model)
+    texts = ["", " \n", "a", "㊊㊊ \x8a", *(text(int(n), *["grobak"] * int(n % 4)) for n in rng.integers(0, 90, 2 * toxicity.TEXTS)), text(5000, "grobak")]
+    got = toxicity.all_features([toxicity.words(t) for t in texts], *made)
+    assert np.allclose(got, [plain_features(toxicity.words(t), *made) for t in texts], rtol=1e-12) and toxicity.all_features([], *made).shape == (0, toxicity.N_FEATURES)
+
+
+def test_toxicity_segments_are_cut_once(monkeypatch):
+    """Training doesn't cut each fold's documents into segments again."""
+    cut, whole = [], toxicity.segments
+    monkeypatch.setattr(toxicity, "segments", lambda w: cut.append(len(w)) or whole(w))
+    samples = [(f"calm words number{i} of a text " * 3 + "grobak " * (i % 2), i % 2) for i in range(200)]
+    assert b" grobak" in toxicity.train(samples, 0.5).toxic
+    assert sum(cut) <= 3 * sum(len(toxicity.words(t)) for t, _ in samples)
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(4)
     good = rng.random(20000) < 0.7
